@@ -155,3 +155,57 @@ def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
 def sequence_hash(words: np.ndarray) -> np.uint64:
     """A 64-bit hash of all words in order."""
     return mix(np.atleast_1d((words * _powers(len(words))).sum(dtype=np.uint64) + np.uint64(len(words))))[0]
+
+
+def with_scores(docs: DataFrame, id_col: str, text_col: str, judge, fields: list[tuple[str, pa.DataType]], extra: dict[str, F.Column] | None = None) -> DataFrame:
+    """(id, extra columns, fields) of each row. judge() is called once in a task and gives a function
+    from an Arrow array of texts to one array for each field."""
+    limit_batches(docs.sparkSession)
+    extra = extra or {}
+    own = docs.select(F.col(id_col).alias("id"), *[c.alias(n) for n, c in extra.items()], F.col(text_col).alias("text"))
+    kept = [n for n in own.columns if n != "text"]
+
+    def run(batches):
+        of = judge()
+        for batch in batches:
+            for part in slices(batch, "text"):
+                got = of(part.column("text"))
+                columns = [part.column(n) for n in kept] + [g if isinstance(g, pa.Array) else pa.array(g, t) for g, (_, t) in zip(got, fields, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, kept + [n for n, _ in fields])
+
+    from pyspark.sql.pandas.types import from_arrow_type
+    from pyspark.sql.types import StructField, StructType
+
+    schema = StructType([own.schema[n] for n in kept] + [StructField(n, from_arrow_type(t)) for n, t in fields])
+    return own.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+
+
+def kept_rows(docs: DataFrame, text_col: str, judge) -> DataFrame:
+    """The rows, with all their columns, whose texts judge()'s function keeps (an array of booleans)."""
+    limit_batches(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        of = judge()
+        for batch in batches:
+            batch = pa.RecordBatch.from_arrays(batch.columns, [f"c{i}" for i in range(batch.num_columns)])
+            for part in slices(batch, f"c{at}"):
+                yield pa.RecordBatch.from_arrays(part.filter(pa.array(np.asarray(of(part.column(at)), bool))).columns, names)
+
+    names = docs.columns
+    return docs.mapInArrow(run, docs.schema)
+
+
+def bounded_sample(rows: DataFrame, id_col: str, bound: int, by: str | None = None, groups: int = 512) -> DataFrame:
+    """About `bound` rows (for each value of `by`, of which the `groups` most frequent count), chosen by
+    a hash of the id, so that the same rows come out in every run; all rows if there are fewer."""
+    share = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
+    if by is None:
+        return rows.where(share < min(1.0, bound / max(1, rows.count())))
+    counts = rows.groupBy(by).count().orderBy(F.desc("count"), by).limit(groups).collect()
+    if not counts:
+        return rows.limit(0)
+    limit = F.lit(0.0)
+    for value, n in counts:
+        limit = F.when(F.col(by) == value, F.lit(min(1.0, bound / n))).otherwise(limit)
+    return rows.where(share < limit)

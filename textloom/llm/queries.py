@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import spm
+from textloom.llm import language_id, quality, spm
+from textloom.llm.common import fold
 
 #: Where the public tokenizers lie, unless spark.textloom.tokenizers names another folder.
 TOKENIZERS = "/opt/tokenizers"
@@ -25,6 +26,20 @@ def tokenizer_model(spark: SparkSession) -> bytes:
         return f.read()
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold("doc_id", 5) == 0
+    profiles = language_id.learn(docs.where(~held_out))
+    out = language_id.predict(docs, profiles, extra={"held_out": held_out})
+    return out.select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    forest = quality.learn(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, forest).select("doc_id", *quality.BASE, "base_failed", "anomaly", "kept")
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = spm.transcode(table(spark, sf_dir, "documents"), tokenizer_model(spark))
     return out.select(
@@ -36,7 +51,11 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_sentencepiece": op10_sentencepiece}
+    return {
+        "op1_language_id": op1_language_id,
+        "op9_quality_rules": op9_quality_rules,
+        "op10_sentencepiece": op10_sentencepiece,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
