@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import language_id, quality, spm
+from textloom.llm import language_id, quality, spm, toxicity
 from textloom.llm.common import fold
 
 #: Where the public tokenizers lie, unless spark.textloom.tokenizers names another folder.
@@ -34,6 +34,14 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold("doc_id", 5) == 0
+    classifier = toxicity.learn(docs, table(spark, sf_dir, "labels").where(~held_out))
+    out = toxicity.score(docs, classifier, extra={"held_out": held_out})
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     forest = quality.learn(docs, table(spark, sf_dir, "labels"))
@@ -53,6 +61,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
+        "op5_toxicity": op5_toxicity,
         "op9_quality_rules": op9_quality_rules,
         "op10_sentencepiece": op10_sentencepiece,
     }
