@@ -50,22 +50,32 @@ def fold(id_col: str, n: int) -> F.Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % n
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
-    """left joined to right, which has each key at most once (or a few times).
+def join_hot(left: DataFrame, right: DataFrame, key: str, total: int, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """left joined to right, which has each key a few times at most.
 
     Keys that hold over a thousandth of left's `total` rows, of which there are 1000 at most (so
     they can be broadcast), are dealt to as many salts as needed; right's rows of these keys are
-    copied to each salt. No task gets a key with a third of all rows."""
+    copied to each salt. No task gets a key with a third of all rows. counts: (key, count) of left,
+    if that is known."""
     limit = max(64, total // 1000)
-    hot = F.broadcast(
-        left.groupBy(key).count().where(F.col("count") > limit).select(F.col(key), F.ceil(F.col("count") / limit).cast("int").alias("_n"))
-    )
+    counts = left.groupBy(key).count() if counts is None else counts
+    hot = F.broadcast(counts.where(F.col("count") > limit).select(F.col(key), F.ceil(F.col("count") / limit).cast("int").alias("_n")))
     salt = F.coalesce(F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.col("_n")), F.lit(0)).cast("int")
     l = left.join(hot, key, "left").withColumn("_salt", salt).drop("_n")
     r = right.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_n"), F.lit(1)) - 1))).drop("_n")
     return l.join(r, [key, "_salt"], how).drop("_salt")
 
 
+#: Ids that may be broadcast (8 MB); beyond that, rows are joined with them by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def by_ids(rows: DataFrame, ids: DataFrame, n: int, how: str) -> DataFrame:
+    """rows semi- or anti-joined (how) with n distinct ids, a table of one column."""
+    (key,) = ids.columns
+    return rows.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, key, how)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """An Arrow string column as one uint8 array and the offsets of its rows; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
