@@ -3,9 +3,12 @@ folder that all executors see, joins that survive hot keys, and words as flat nu
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +21,21 @@ CHUNK_BYTES = 1 << 20
 BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
 
 _own_dir: list[str] = []
+_shipped: list[str] = []
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, unless the driver's settings let their Python find it anyway."""
+    root = Path(__file__).resolve().parents[2]
+    if _shipped == [spark.sparkContext.applicationId] or os.getcwd() == str(root) or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    _shipped[:] = [spark.sparkContext.applicationId]
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='textloom-')}/textloom", "zip", root, "textloom"))
 
 
 def limit_batches(spark: SparkSession) -> None:
     """Bound what an Arrow batch holds, so that many long texts never meet in one."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 

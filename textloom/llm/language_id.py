@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import bounded_sample, kept_rows, mix, with_scores
+from textloom.llm.common import bounded_sample, kept_rows, limit_batches, mix, with_scores
 
 UNKNOWN = "und"
 DIMENSIONS = 1024
@@ -120,6 +120,7 @@ class Profiles:
 
 def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", docs_per_language: int = DOCS_PER_LANGUAGE) -> Profiles:
     """Prototypes from rows with a language, from about docs_per_language rows of each at most."""
+    limit_batches(labelled.sparkSession)
     rows = labelled.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     sample = bounded_sample(rows, "doc_id", docs_per_language, by="lang", groups=LANGUAGES).select("lang", "text")
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import bounded_sample, slices, with_scores, written
+from textloom.llm.common import bounded_sample, limit_batches, slices, with_scores, written
 
 SIZES = (3, 4, 5, 6)
 BUCKET_BITS = 20
@@ -112,6 +112,7 @@ def learn(
 ) -> Classifier:
     """A classifier fitted on about rows_per_class labelled texts of each class at most."""
     spark = docs.sparkSession
+    limit_batches(spark)
     marked = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
     all_rows = {r.label: r["count"] for r in marked.groupBy("label").count().collect()}
     chosen = F.broadcast(bounded_sample(marked, "id", rows_per_class, by="label", groups=2))
