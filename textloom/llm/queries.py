@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import decontaminate, language_id, near_dedup, quality, spm, toxicity
-from textloom.llm.common import fold
+from textloom.llm import decontaminate, language_id, near_dedup, quality, spm, toxicity, warc
+from textloom.llm.common import fold, written
 
 #: Where the public tokenizers lie, unless spark.textloom.tokenizers names another folder.
 TOKENIZERS = "/opt/tokenizers"
@@ -34,6 +34,20 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    typed = warc.with_types(pages, "page_id", "html", "url")
+    archives = written(warc.write(typed, warc.train(pages, "page_id", "html")), "warc")
+    return warc.read(archives).select(
+        warc.record_key("record_id").try_cast("long").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        warc.record_key("refers_to").try_cast("long").alias("refers_to"),
+        "target",
+    )
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = fold("doc_id", 5) == 0
@@ -67,9 +81,23 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP3_SQL = """
+WITH p AS (
+  SELECT page_id, url, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages
+), d AS (
+  SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY html) END AS largest FROM p
+)
+SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest,
+       CASE WHEN largest IS NULL OR page_id = largest THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id < largest THEN largest END AS refers_to, url AS target
+FROM d
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
+        "op3_warc": op3_warc,
         "op5_toxicity": op5_toxicity,
         "op7_decontaminate": op7_decontaminate,
         "op8_near_dedup": op8_near_dedup,
@@ -79,4 +107,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_warc": OP3_SQL}
