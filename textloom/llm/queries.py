@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import chat, decontaminate, language_id, near_dedup, quality, spm, toxicity, warc
+from textloom.llm import chat, decontaminate, html_extract, language_id, near_dedup, quality, spm, toxicity, warc
 from textloom.llm.common import fold, written
 
 #: Where the public tokenizers lie, unless spark.textloom.tokenizers names another folder.
@@ -34,6 +34,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = html_extract.learn(html_extract.labelled_pages())
+    out = html_extract.extract(table(spark, sf_dir, "pages"), model, extra={"url": F.col("url")})
+    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     typed = warc.with_types(pages, "page_id", "html", "url")
@@ -132,6 +138,7 @@ FROM c GROUP BY conv_id
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
+        "op2_html_extract": op2_html_extract,
         "op3_warc": op3_warc,
         "op4_chat": op4_chat,
         "op5_toxicity": op5_toxicity,
