@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import chat, decontaminate, html_extract, language_id, near_dedup, quality, spm, toxicity, warc
+from textloom.llm import chat, decontaminate, html_extract, language_id, lm, near_dedup, quality, spm, toxicity, warc
 from textloom.llm.common import fold, written
 
 #: Where the public tokenizers lie, unless spark.textloom.tokenizers names another folder.
@@ -82,6 +82,13 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold("doc_id", 7) == 2
+    model, counts = lm.learn(docs.where(~held_out))
+    return lm.score(docs, model, counts, extra={"held_out": held_out})
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.withColumnRenamed("at", "at_word")
@@ -142,6 +149,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_warc": op3_warc,
         "op4_chat": op4_chat,
         "op5_toxicity": op5_toxicity,
+        "op6_lm": op6_lm,
         "op7_decontaminate": op7_decontaminate,
         "op8_near_dedup": op8_near_dedup,
         "op9_quality_rules": op9_quality_rules,
