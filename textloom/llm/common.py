@@ -80,10 +80,17 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, total: int, how: str =
     return l.join(r, [key, "_salt"], how).drop("_salt")
 
 
-#: Ids that may be broadcast (8 MB); beyond that, rows are joined with them by a shuffle.
+#: Rows of a few numbers that may be broadcast (some 16 MB); beyond that, joins shuffle.
 BROADCAST_IDS = 1_000_000
 
 
+def join_sized(left: DataFrame, right: DataFrame, key: str, total: int, n: int, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """As join_hot(), but without a shuffle where right's n rows, of a few numbers each, may be broadcast."""
+    if n <= BROADCAST_IDS:
+        return left.join(F.broadcast(right), key, how)
+    return join_hot(left, right, key, total, how, counts)
+
+
 def by_ids(rows: DataFrame, ids: DataFrame, n: int, how: str) -> DataFrame:
     """rows semi- or anti-joined (how) with n distinct ids, a table of one column."""
     (key,) = ids.columns

@@ -7,9 +7,9 @@ shifted circularly by i, ranks them for coordinate i, whose value is the least r
 coordinates that agree make candidates, and the exact Jaccard similarity of the full sets decides.
 
 Documents with equal sets are one node. In a bucket all members are compared with one pivot first.
-Buckets whose members these links leave in several components are compared again, across components
-only, until each such pair has been decided. So groups of thousands of copies cost one comparison a
-member, no pair within a group is made that decides nothing, and no link is lost.
+Members that are linked to one same document need no comparison with each other; buckets that hold others
+are compared again, in the pairs across components that an exact prefix filter over their full sets leaves.
+So a group of thousands of copies costs about one comparison a member, and no link between groups is lost.
 
 Defined results: null texts and texts without words have no shingles and are linked with nothing; rows
 with a null id are linked with nothing and stay; rows of the same id are one document; ties (equal
@@ -19,14 +19,13 @@ named columns, and the filter passes all columns on.
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import LOWER, by_ids, join_hot, mix, sequence_hash, text_bytes, window_hashes, with_scores, word_hashes, word_spans, written
+from textloom.llm.common import LOWER, by_ids, join_hot, join_sized, mix, sequence_hash, text_bytes, window_hashes, with_scores, word_hashes, word_spans, written
 from textloom.llm.components import components
 
 #: Words of a shingle and the least similarity in percent, unless a caller says otherwise.
@@ -34,10 +33,7 @@ SHINGLE_WORDS, PERCENT = 5, 80
 #: Signature coordinates; the chance that a pair just at the threshold shares no band may be MISS at most.
 COORDINATES, MISS = 320, 1e-5
 UNIVERSE_BITS = 20
-#: Rounds of further pivots, as long as the open buckets' members have more pairs than this many a
-#: member; then the remaining pairs across components are all compared.
-PIVOT_ROUNDS, PAIRS_PER_MEMBER = 3, 4
-_SHINGLES = 4096
+_SHINGLES, _BLOCK = 4096, 1 << 14
 
 _tables: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -125,16 +121,75 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return with_scores(by_ids(docs, ids, ids.count(), "left_semi"), "doc", "text", judge, [("own", pa.list_(pa.int64()))])
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (u, v) whose sets are similar enough."""
-    n = pairs.count()
-    one = join_hot(pairs, sets.select(F.col("doc").alias("v"), F.col("own").alias("of_v")), "v", n)
-    both = join_hot(one, sets.select(F.col("doc").alias("u"), F.col("own").alias("of_u")), "u", n, counts=pairs.groupBy("u").count())
+def _linked(pairs: DataFrame, n: int, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the n pairs (u, v) whose sets are similar enough. u may be a pivot of many pairs.
+    The sets are long, so they are never broadcast."""
+    one = pairs.join(sets.select(F.col("doc").alias("v"), F.col("own").alias("of_v")).hint("merge"), "v")
+    both = join_hot(one, sets.select(F.col("doc").alias("u"), F.col("own").alias("of_u")).hint("merge"), "u", n, counts=pairs.groupBy("u").count())
     same = F.size(F.array_intersect("of_u", "of_v"))
     checked = both.select("u", "v", same.alias("same"), (F.size("of_u") + F.size("of_v")).alias("sizes"))
     return checked.where(100 * F.col("same") >= percent * (F.col("sizes") - F.col("same"))).select("u", "v")
 
 
+def _frequencies(rest: DataFrame) -> np.ndarray:
+    """For each hash bucket of shingles how many the sets have: a table of a fixed size."""
+
+    def run(batches):
+        counts = np.zeros(1 << UNIVERSE_BITS, np.int32)
+        for batch in batches:
+            shingles = batch.column("own").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            counts += np.bincount((shingles >> np.uint64(64 - UNIVERSE_BITS)).astype(np.int64), minlength=len(counts)).astype(np.int32)
+        blocks = range(0, len(counts), _BLOCK)
+        yield pa.RecordBatch.from_pydict({"block": pa.array(blocks, pa.int64()), "counts": [counts[b : b + _BLOCK].tobytes() for b in blocks]})
+
+    def total(pdf: pd.DataFrame) -> pd.DataFrame:
+        sums = np.sum([np.frombuffer(x, np.int32) for x in pdf.counts], axis=0, dtype=np.int64)
+        return pd.DataFrame({"block": [int(pdf.block.iloc[0])], "counts": [sums.tobytes()]})
+
+    parts = rest.select("own").mapInArrow(run, "block long, counts binary").groupBy("block").applyInPandas(total, "block long, counts binary")
+    out = np.zeros(1 << UNIVERSE_BITS, np.int64)
+    for r in parts.collect():
+        out[r.block : r.block + _BLOCK] = np.frombuffer(r.counts, np.int64)
+    return out
+
+
+def _across(rest: DataFrame, percent: int) -> DataFrame:
+    """All pairs (u, v) of different labels that may be similar enough, for rest (doc, label, own).
+
+    Of two sets that are, the first shingles in any order of all shingles overlap: a set of n needs
+    n - ceil(percent * n) + 1 of them, and what follows the first common one must suffice for the overlap.
+    Rare shingles come first, so a text whose own edits exceed what the similarity allows meets nothing.
+    Rows of a shingle's most frequent label are not paired with each other."""
+    shipped = rest.sparkSession.sparkContext.broadcast(_frequencies(rest))
+    kinds = [f"{c} {rest.schema[c].dataType.simpleString()}" for c in ("doc", "label")]
+
+    def run(batches):
+        often = shipped.value
+        for batch in batches:
+            tokens, sizes, places, rows = [], [], [], []
+            for i, own in enumerate(batch.column("own")):
+                shingles = own.values.to_numpy(zero_copy_only=False)
+                order = np.lexsort((shingles, often[(shingles.view(np.uint64) >> np.uint64(64 - UNIVERSE_BITS)).astype(np.int64)]))
+                first = order[: len(order) + percent * len(order) // -100 + 1]
+                tokens.append(shingles[first])
+                places.append(np.arange(len(first), dtype=np.int32))
+                sizes.append(np.full(len(first), len(order), np.int32))
+                rows.append(np.full(len(first), i))
+            take = pa.array(np.concatenate(rows))
+            columns = [pa.array(np.concatenate(x)) for x in (tokens, sizes, places)]
+            yield pa.RecordBatch.from_arrays([*columns, batch.column("doc").take(take), batch.column("label").take(take)], ["token", "n", "at", "doc", "label"])
+
+    starts = written(rest.mapInArrow(run, f"token long, n int, at int, {', '.join(kinds)}"), "starts")
+    counted = starts.groupBy("token", "label").count()
+    modes = counted.groupBy("token").agg(F.max_by("label", F.struct("count", "label")).alias("mode"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
+    right = starts.join(modes, "token")
+    left = right.where("label <> mode")
+    right = right.select("token", *[F.col(c).alias(f"{c}2") for c in ("n", "at", "doc", "label")])
+    apart = (F.col("label") != F.col("label2")) & ((F.col("label2") == F.col("mode")) | (F.col("doc") < F.col("doc2")))
+    enough = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) * (100 + percent) >= percent * (F.col("n") + F.col("n2"))
+    return left.join(right, "token").where(apart & enough).select(F.least("doc", "doc2").alias("u"), F.greatest("doc", "doc2").alias("v"))
+
+
 def groups(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) of each row: the smallest id that chains of links reach,
     and whether it is the row's own."""
@@ -142,46 +197,36 @@ def groups(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT, id_c
     rows = written(signed(own, k, percent, "doc", "text"), "signed")
     some = rows.where(F.col("set_key").isNotNull() & F.col("doc").isNotNull())
     classes = written(some.groupBy("set_key").agg(F.min("doc").alias("rep"), F.count("*").alias("count"), F.any_value("bands").alias("bands")), "classes")
-    n = rows.count()
-    copied = classes.where("count > 1").select("set_key", "rep", "count")
-    copies = join_hot(some.select("doc", "set_key"), copied.select("set_key", "rep"), "set_key", n, counts=copied.select("set_key", "count"))
+    n, repeated = rows.count(), classes.where("count > 1")
+    copies = join_sized(some.select("doc", "set_key"), repeated.select("set_key", "rep"), "set_key", n, repeated.count(), counts=repeated.select("set_key", "count"))
     links = written(copies.where("doc <> rep").select(F.col("rep").alias("u"), F.col("doc").alias("v")), "links")
 
     banded = classes.select("rep", F.explode("bands").alias("key"))
     buckets = written(banded.groupBy("key").agg(F.count("*").alias("count"), F.min("rep").alias("pivot")).where("count > 1"), "buckets")
-    members = written(join_hot(banded, buckets.select("key", "pivot"), "key", n * banding(percent)[0], counts=buckets.select("key", "count")), "members")
-    ids = members.select(F.col("rep").alias("doc")).distinct()
+    members = join_sized(banded, buckets.select("key", "pivot"), "key", n * banding(percent)[0], buckets.count(), counts=buckets.select("key", "count"))
+    members = written(members, "members")
+    size = members.count()
+    ids = written(members.select(F.col("rep").alias("doc")).distinct(), "ids")
     sets = written(_sets(own, ids, k), "sets")
 
-    size = members.count()
-    whole = False
-    pairs, tried = members.where("rep <> pivot").select(F.col("pivot").alias("u"), F.col("rep").alias("v")).distinct(), None
-    for turn in itertools.count():
-        pairs = written(pairs, "pairs")
-        links = written(links.unionByName(_linked(pairs, sets, percent)), "links")
-        if whole:  # all pairs across components have been compared
-            break
-        tried = pairs if tried is None else written(tried.unionByName(pairs), "tried")
-        placed = join_hot(members.select("key", "rep"), components(links).withColumnRenamed("node", "rep"), "rep", size, "left")
-        placed = placed.withColumn("component", F.coalesce("component", "rep"))
-        mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("count")).where("low <> high")
-        mixed = written(mixed.select("key", "count"), "mixed")
-        most = mixed.agg(F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0]
-        if not most:
-            break
-        spread = written(join_hot(placed, mixed.select("key"), "key", size, counts=mixed), "spread")
-        whole = turn == PIVOT_ROUNDS or most <= PAIRS_PER_MEMBER * size
-        if whole:
-            other = spread.select("key", F.col("rep").alias("rep2"), F.col("component").alias("component2"))
-            new = spread.join(other, "key").where("rep < rep2 and component <> component2").select(F.col("rep").alias("u"), F.col("rep2").alias("v"))
-        else:  # another pivot, by a hash that differs in each round
-            order = F.struct(F.xxhash64("rep", F.lit(turn)), "rep", "component")
-            pivots = spread.groupBy("key").agg(F.min(order).alias("pivot")).select("key", F.col("pivot.rep").alias("pivot"), F.col("pivot.component").alias("other"))
-            new = join_hot(spread, pivots, "key", size, counts=mixed).where("component <> other")
-            new = new.select(F.least("pivot", "rep").alias("u"), F.greatest("pivot", "rep").alias("v"))
-        pairs = new.distinct().join(tried, ["u", "v"], "left_anti")
+    pairs = written(members.where("rep <> pivot").select(F.col("pivot").alias("u"), F.col("rep").alias("v")).distinct(), "pairs")
+    links = links.unionByName(written(_linked(pairs, pairs.count(), sets, percent), "links"))
     found = components(links)
-    out = rows.join(found.select(F.col("node").alias("doc"), "component"), "doc", "left")
+
+    # Buckets whose members are still apart.
+    labels = found.withColumnsRenamed({"node": "rep", "component": "label"})
+    placed = join_sized(members.select("key", "rep"), labels, "rep", size, labels.count(), "left")
+    placed = placed.withColumn("label", F.coalesce("label", "rep"))
+    mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("count")).where("low <> high")
+    mixed = written(mixed.select("key", "count"), "mixed")
+    apart = join_sized(placed, mixed.select("key"), "key", size, mixed.count(), counts=mixed).select(F.col("rep").alias("doc"), "label").distinct()
+    rest = written(apart.join(sets.hint("merge"), "doc"), "rest")
+    new = written(_across(rest, percent).distinct().join(pairs.hint("merge"), ["u", "v"], "left_anti"), "pairs")
+    if n_new := new.count():
+        more = written(_linked(new, n_new, sets, percent), "links")
+        if more.limit(1).count():
+            found = components(links.unionByName(more))
+    out = join_sized(rows.drop("bands", "set_key"), found.select(F.col("node").alias("doc"), "component"), "doc", n, found.count(), "left")
     component = F.coalesce("component", "doc")
     return out.select(F.col("doc").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc"), F.lit(True)).alias("kept"))
 
