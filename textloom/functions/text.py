@@ -7,8 +7,9 @@ by the same patterns that the executors apply to documents.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Fixed values of the tokenizer: the letters of a token and its least length.
@@ -70,7 +71,7 @@ def tokens_of(text: str) -> list[str]:
 
 
 def stem_of(word: str) -> str:
-    """with_stem() for one word on the driver."""
+    """stem() for one word on the driver."""
     if not word or word[0] < "\x80":
         return word
 
@@ -93,44 +94,42 @@ def stem_of(word: str) -> str:
     return cut("double_n", plain) if plain != out else cut("soft", out)
 
 
-def with_stem(df: DataFrame, token_col: str, out_col: str) -> DataFrame:
-    """df with the stems of its tokens; tokens that begin with an ASCII character are their own stems.
-    Every step is a column of its own, so no pattern is tried twice."""
-
-    def cut(step: str, c: str) -> Column:
-        return F.regexp_replace(c, STEPS[step], "$1")
-
-    def first(c: str, *cuts: str) -> Column:
-        out = F.col(c)
-        for k in reversed(cuts):
-            out = F.when(F.col(k) != F.col(c), F.col(k)).otherwise(out)
-        return out
-
-    names: list[str] = []
-
-    def step(frame: DataFrame, name: str, expression: Column) -> DataFrame:
-        names.append(f"_stem_{name}")
-        return frame.withColumn(names[-1], expression)
-
-    # Only words that do not begin with ASCII go through the patterns.
-    out = step(df, "w", F.when(F.col(token_col) >= "\x80", F.col(token_col)))
-    for s in ("gerund_after_a", "gerund", "reflexive"):
-        out = step(out, s, cut(s, "_stem_w"))
-    for s in ("adjective", "verb_after_a", "verb", "noun"):
-        out = step(out, s, cut(s, "_stem_reflexive"))
-    for s in ("participle", "participle_after_a"):
-        out = step(out, s, cut(s, "_stem_adjective"))
-    adjectival = first("_stem_adjective", "_stem_participle", "_stem_participle_after_a")
-    rest = F.when(F.col("_stem_adjective") != F.col("_stem_reflexive"), adjectival).otherwise(first("_stem_reflexive", "_stem_verb_after_a", "_stem_verb", "_stem_noun"))
-    gerund = F.when(F.col("_stem_gerund_after_a") != F.col("_stem_w"), F.col("_stem_gerund_after_a")).when(F.col("_stem_gerund") != F.col("_stem_w"), F.col("_stem_gerund"))
-    out = step(out, "one", F.coalesce(gerund, rest))
-    out = step(out, "two", cut("final_i", "_stem_one"))
-    out = step(out, "three", cut("derivational", "_stem_two"))
-    out = step(out, "single", cut("double_n", "_stem_three"))
-    out = step(out, "plain", cut("superlative", "_stem_three"))
-    last = F.when(F.col("_stem_plain") != F.col("_stem_three"), cut("double_n", "_stem_plain")).otherwise(cut("soft", "_stem_three"))
-    out = step(out, "four", F.when(F.col("_stem_single") != F.col("_stem_three"), F.col("_stem_single")).otherwise(last))
-    return out.withColumn(out_col, F.coalesce("_stem_four", F.col(token_col))).drop(*names)
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def stem(token: Column) -> Column:
+    """The stem of a token; tokens that begin with an ASCII character are their own, and cost one comparison."""
+
+    def cut(step: str, w: Column) -> Column:
+        return F.regexp_replace(w, STEPS[step], "$1")
+
+    def first(w: Column, steps: tuple[str, ...], otherwise: Column) -> Column:
+        """w after the first step that changes it."""
+        if not steps:
+            return otherwise
+        return _bound(cut(steps[0], w), lambda c: F.when(c != w, c).otherwise(first(w, steps[1:], otherwise)))
+
+    def ending(w: Column) -> Column:
+        return _bound(
+            cut("reflexive", w),
+            lambda bare: _bound(
+                cut("adjective", bare),
+                lambda adjective: F.when(adjective != bare, first(adjective, ("participle", "participle_after_a"), adjective)).otherwise(
+                    first(bare, ("verb_after_a", "verb", "noun"), bare)
+                ),
+            ),
+        )
+
+    def tidied(w: Column) -> Column:
+        plain = _bound(cut("superlative", w), lambda c: F.when(c != w, cut("double_n", c)).otherwise(cut("soft", w)))
+        return _bound(cut("double_n", w), lambda c: F.when(c != w, c).otherwise(plain))
+
+    def whole(w: Column) -> Column:
+        return _bound(cut("derivational", cut("final_i", first(w, ("gerund_after_a", "gerund"), ending(w)))), tidied)
+
+    return F.when(token < "\x80", token).otherwise(_bound(token, whole))
 
 
 def snippet(text: Column, n: int = 100) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.functions.text import tokens, with_stem
+from textloom.functions.text import stem, tokens
 
 
 def token_rows(docs: DataFrame, text_col: str = "clean_text") -> DataFrame:
@@ -16,14 +16,14 @@ def token_rows(docs: DataFrame, text_col: str = "clean_text") -> DataFrame:
 def postings(docs: DataFrame, text_col: str = "clean_text") -> DataFrame:
     """(term, doc_id), each once. A document's repeated tokens go before anything is stemmed or shuffled."""
     distinct = docs.select("doc_id", F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("token"))
-    return with_stem(distinct, "token", "term").select("term", "doc_id").distinct()
+    return distinct.select(stem(F.col("token")).alias("term"), "doc_id").distinct()
 
 
 def term_frequencies(docs: DataFrame, text_col: str = "clean_text") -> DataFrame:
     """(term, freq). Tokens are counted first (with partial counts before the shuffle), so stems are worked
     out once for each distinct token."""
     counted = token_rows(docs, text_col).groupBy("token").agg(F.count("*").alias("n"))
-    return with_stem(counted, "token", "term").groupBy("term").agg(F.sum("n").alias("freq"))
+    return counted.groupBy(stem(F.col("token")).alias("term")).agg(F.sum("n").alias("freq"))
 
 
 def document_frequencies(of: DataFrame) -> DataFrame:

@@ -45,7 +45,8 @@ def read_postings(spark: SparkSession, path: str) -> DataFrame:
     """The long form of an export; lines whose df is no number are skipped."""
     rows = spark.read.schema("term string, df string, docs string").option("header", True).csv(path)
     rows = rows.where(F.expr("try_cast(df AS bigint)").isNotNull())
-    return rows.select("term", F.explode(F.split(F.regexp_replace("docs", "\r$", ""), r"\|")).cast("bigint").alias("doc_id"))
+    ids = F.split(F.regexp_replace("docs", "\r$", ""), r"\|").cast("array<bigint>")
+    return rows.select("term", F.explode(ids).alias("doc_id"))
 
 
 def write_lexicon(lexicon: DataFrame, path: str) -> None:
@@ -72,7 +73,8 @@ def write_universe(docs: DataFrame, path: str) -> None:
 
 
 def read_universe(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).select(F.explode(F.split("value", r"\|")).cast("bigint").alias("doc_id")).where("doc_id is not null")
+    ids = F.split("value", r"\|").cast("array<string>")
+    return spark.read.text(path).select(F.explode(ids).alias("id")).select(F.expr("try_cast(id AS bigint)").alias("doc_id")).where("doc_id is not null")
 
 
 _VALUE = re.compile(rb"'((?:[^'\\]|\\.|'')*)'|([^,()']+)", re.DOTALL)
