@@ -38,6 +38,8 @@ HIDDEN = frozenset("head script style template noscript iframe noembed noframes
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img input".split()
 )
+#: Elements that say nothing by themselves; what their text is like does.
+PLAIN = frozenset("html body div section ul ol li dl dt dd table tbody tr td th".split())
 _P_ENDERS = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()
 )
@@ -74,7 +76,7 @@ class Tree:
 def parsed(page: str) -> Tree:
     """The tree of a page."""
     tree = Tree()
-    tree.add(-1, ["<root>"], 0)
+    tree.add(-1, [], 0)
     stack = [("", 0, False)]  # tag, node of the block it is in, whether it is a block itself
     hidden = links = 0
     run: list[str] = []
@@ -87,7 +89,7 @@ def parsed(page: str) -> Tree:
             node = stack[-1][1]
             words = len(text.split())
             share = linked / max(1, len(text))
-            kind = ["#text", f"#words{min(6, words.bit_length())}", f"#links{min(3, int(share * 3.0))}", f"#end{text[-1] in '.!?:;'}"]
+            kind = [f"#words{min(6, words.bit_length())}", f"#{stack[-1][0]}/links{min(3, int(share * 3.0))}", f"#end{text[-1] in '.!?:;'}"]
             tree.add(node, kind, tree.label[node], text)
         run.clear()
         linked = 0
@@ -156,7 +158,7 @@ def parsed(page: str) -> Tree:
         if block:
             flush()
             above = stack[-1][1]
-            evidence, label = [f"<{tag}>"], tree.label[above]
+            evidence, label = ([] if tag in PLAIN else [f"<{tag}>"]), tree.label[above]
             if m[3]:
                 for a in _ATTRIBUTE.finditer(m[3]):
                     value = a[2] or a[3] or a[4] or ""
@@ -231,7 +233,7 @@ def learn(pages: list[str]) -> Model:
             if i:
                 edges[int(text is not None), t.label[parent], label] += 1
     # Evidence that is absent says nothing: only words that a node has count.
-    evidence = {w: tuple(np.log(np.array(c) / (texts if w.startswith("#") else nodes))) for w, c in seen.items() if w not in ("#text", "<root>")}
+    evidence = {w: tuple(np.log(np.array(c) / (texts if w.startswith("#") else nodes))) for w, c in seen.items()}
     return Model(evidence, np.log(edges / edges.sum(axis=2, keepdims=True)), np.log(np.array([1 - 1e-3, 1e-3])))
 
 
@@ -277,10 +279,10 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = SEED) -> list[str]:
         elif kind == "form":
             inside = f"<p>{sentence(4)}</p><label>{sentence(1)}</label><input name=q><button>Go</button>"
         elif kind == "talk":
-            inside = "".join(element(rng.choice(["div", "li", "article"]), rng.choice(["comment", "reply", "comment body"]), 0, f"<p>{paragraph()}</p>") for _ in range(rng.randint(1, 4)))
-            inside = f"<h3>{sentence(2)}</h3>" + inside
+            inside = "".join(element("article" if rng.random() < 0.04 else rng.choice(["div", "li"]), rng.choice(["comment", "reply", "comment body"]), 0, f"<p>{paragraph()}</p>") for _ in range(rng.randint(1, 4)))
+            inside = f"<h{(h := rng.choice([3, 3, 4]))}>{sentence(2)}</h{h}>" + inside
         elif kind in ("side", "share"):
-            inside = rng.choice([f"<h3>{sentence(2)}</h3><ul>{items}</ul>", f"<p>{paragraph()}</p>", sentence(3)])
+            inside = rng.choice([f"<h{(h := rng.choice([3, 3, 4]))}>{sentence(2)}</h{h}><ul>{items}</ul>", f"<p>{paragraph()}</p>", sentence(3)])
         else:
             inside = rng.choice([f"<p>{paragraph()}</p>", paragraph(), sentence(6), f"<h2>{sentence(2)}</h2><p>{sentence(8)}</p>"])
         return element(tag, names, 0, inside)
@@ -290,12 +292,13 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = SEED) -> list[str]:
         if rng.random() < 0.9:
             title = f"<h1>{sentence(rng.randint(2, 9))}</h1>"
             out.append(f"<header>{title}</header>" if rng.random() < 0.05 else title)
-        for _ in range(rng.randint(1, 9)):
-            kind = rng.random()
+        terse = rng.random() < 0.1  # an article of many short paragraphs
+        for _ in range(rng.randint(10, 40) if terse else rng.randint(1, 9)):
+            kind = 0.0 if terse else rng.random()
             if kind < 0.72:
-                out.append(f"<p>{paragraph()}" + ("</p>" if rng.random() < 0.8 else ""))
+                out.append(f"<p>{sentence(rng.randint(1, 4)) if terse else paragraph()}" + ("</p>" if rng.random() < 0.8 else ""))
             elif kind < 0.80:
-                out.append(f"<h{(h := rng.randint(2, 4))}>{sentence(3)}</h{h}>")
+                out.append(f"<h{(h := rng.choice([2, 2, 3]))}>{sentence(rng.randint(1, 6))}</h{h}>")
             elif kind < 0.85:
                 out.append("<ul>" + "".join(f"<li>{sentence(rng.randint(1, 12))}</li>" for _ in range(rng.randint(2, 5))) + "</ul>")
             elif kind < 0.88:
