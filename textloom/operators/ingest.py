@@ -6,7 +6,7 @@ last_modified, retry_after, fetched_at_unix). `now` is a parameter, so decisions
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.text import content_hash, decoded
@@ -127,3 +127,24 @@ def counters(routed: DataFrame, source_col: str = "source_name") -> DataFrame:
         F.count_if(F.col("action") == "unchanged").alias("unchanged"),
         F.count_if(F.col("action").isin("failed", "too_large")).alias("failed"),
     )
+
+
+#: Rows of a host that one task numbers.
+ROWS_PER_SHARE = 10_000
+
+
+def paced(fetches: DataFrame, delay_sec: float = 0.8, concurrency: int = 2) -> DataFrame:
+    """Planned fetches with start_after: seconds from the run's start, so spaced that a host gets a request each
+    delay_sec / concurrency at most. Hosts with many rows are numbered in shares, so no task gets a whole one."""
+    shares = fetches.groupBy("host").agg(F.ceil(F.count("*") / ROWS_PER_SHARE).cast("int").alias("_shares"))
+    large = F.broadcast(shares.where("_shares > 1")) if shares.where("_shares > 1").count() < 10_000 else shares.where("_shares > 1")
+    own = fetches.join(large, "host", "left").withColumn("_shares", F.coalesce("_shares", F.lit(1)))
+    own = own.withColumn("_share", F.pmod(F.xxhash64("url_norm"), F.col("_shares")))
+    place = F.row_number().over(Window.partitionBy("host", "_share").orderBy("url_norm")) - 1
+    turn = place * F.col("_shares") + F.col("_share")
+    return own.withColumn("start_after", F.floor(turn / concurrency) * delay_sec).drop("_shares", "_share")
+
+
+def low_watermark(progress: DataFrame, index_col: str = "idx", done_col: str = "done") -> DataFrame:
+    """(next_idx): the first index that is not done, so that a run that resumes there skips nothing."""
+    return progress.agg(F.coalesce(F.min(F.when(~F.col(done_col), F.col(index_col))), F.max(index_col) + 1, F.lit(0)).alias("next_idx"))
