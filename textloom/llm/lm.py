@@ -154,7 +154,7 @@ def _gradient(model: Model, outcomes: np.ndarray, place: np.ndarray, sums: list[
             p /= p.sum(axis=1, keepdims=True)
             residual = -p
             residual[every, target] += 1
-            for r in rows[:, own]:  # sum the rows of equal features
+            for r in rows[1:, own]:  # sum the rows of equal features; the biases are the frequencies in all texts
                 order = np.argsort(r, kind="stable")
                 first = np.flatnonzero(np.r_[True, r[order][1:] != r[order][:-1]])
                 sums[2 * k][r[order][first]] += np.add.reduceat(residual[order], first)
@@ -196,11 +196,9 @@ def learn(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> t
     for _ in range(ROUNDS):
         sums = _summed(sample, model)
         for k, table in enumerate((model.by_class, model.by_word)):
-            step = STEP * sums[2 * k] / (sums[2 * k + 1] + DAMPING)
-            biases = slice(0, 1) if k == 0 else slice(0, CLASSES + 1)
-            step[biases] = 0  # these are the frequencies in all texts
-            table += step
-            np.clip(table[biases.stop :], -MOST, MOST, out=table[biases.stop :])
+            own = slice(1, None) if k == 0 else slice(CLASSES + 1, None)  # without the biases
+            step = STEP * sums[2 * k][own] / (sums[2 * k + 1][own] + DAMPING)
+            table[own] = np.clip(table[own] + step, -MOST, MOST)
     return model, counts
 
 
