@@ -139,8 +139,9 @@ def _frequencies(rest: DataFrame) -> np.ndarray:
         for batch in batches:
             shingles = batch.column("own").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             counts += np.bincount((shingles >> np.uint64(64 - UNIVERSE_BITS)).astype(np.int64), minlength=len(counts)).astype(np.int32)
-        blocks = range(0, len(counts), _BLOCK)
-        yield pa.RecordBatch.from_pydict({"block": pa.array(blocks, pa.int64()), "counts": [counts[b : b + _BLOCK].tobytes() for b in blocks]})
+        blocks = [b for b in range(0, len(counts), _BLOCK) if counts[b : b + _BLOCK].any()]
+        if blocks:
+            yield pa.RecordBatch.from_pydict({"block": pa.array(blocks, pa.int64()), "counts": [counts[b : b + _BLOCK].tobytes() for b in blocks]})
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
         sums = np.sum([np.frombuffer(x, np.int32) for x in pdf.counts], axis=0, dtype=np.int64)
