@@ -59,10 +59,19 @@ STEPS = {
 }
 
 
+def raw_tokens(text: Column) -> Column:
+    """The tokens of a text as they stand; null gives none."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
+
+
+def folded(token: Column) -> Column:
+    """A token in lower case, ё as е. On exploded rows this is generated code, on arrays it is not."""
+    return F.translate(F.lower(token), "ё", "е")
+
+
 def tokens(text: Column) -> Column:
-    """The tokens of a text, lower-cased, ё as е; null gives none."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({TOKEN})"), F.lit(1))
-    return F.transform(found, lambda t: F.translate(F.lower(t), "ё", "е"))
+    """The folded tokens of a text."""
+    return F.transform(raw_tokens(text), folded)
 
 
 def tokens_of(text: str) -> list[str]:

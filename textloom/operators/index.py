@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.functions.text import stem, tokens
+from textloom.functions.text import folded, raw_tokens, stem
 
 
 def token_rows(docs: DataFrame, text_col: str = "clean_text") -> DataFrame:
     """(doc_id, token): all tokens in a row each, without their stems."""
-    return docs.select("doc_id", F.explode(tokens(F.col(text_col))).alias("token"))
+    return docs.select("doc_id", F.explode(raw_tokens(F.col(text_col))).alias("token")).select("doc_id", folded(F.col("token")).alias("token"))
 
 
 def postings(docs: DataFrame, text_col: str = "clean_text") -> DataFrame:
     """(term, doc_id), each once. A document's repeated tokens go before anything is stemmed or shuffled."""
-    distinct = docs.select("doc_id", F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("token"))
-    return distinct.select(stem(F.col("token")).alias("term"), "doc_id").distinct()
+    distinct = docs.select("doc_id", F.explode(F.array_distinct(raw_tokens(F.col(text_col)))).alias("token"))
+    return distinct.select(stem(folded(F.col("token"))).alias("term"), "doc_id").distinct()
 
 
 def term_frequencies(docs: DataFrame, text_col: str = "clean_text") -> DataFrame:
