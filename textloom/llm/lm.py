@@ -166,13 +166,26 @@ def _numbered(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, li
     return model.numbers(list(chain.from_iterable(words))), np.array([len(w) for w in words]), words
 
 
+def _frequent(counts: DataFrame) -> DataFrame:
+    """The most frequent words, DICTIONARY at most: those above a count that a histogram of a few hundred rows
+    gives. (Sorting with a limit would send the driver as many words from every task.)"""
+    step = F.floor(F.log2("n") * 16)
+    total, least = 0, None
+    for r in counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+        total += r["count"]
+        if total > DICTIONARY:
+            break
+        least = r.step
+    return counts.where(step >= least) if least is not None else counts.limit(0)
+
+
 def learn(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[Model, DataFrame]:
     """A model of the texts, and (word, n) for all of them."""
     spark = texts.sparkSession
     counts = written(count(texts, text_col), "counts")
     n_words, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n_texts = texts.count()
-    best = counts.orderBy(F.desc("n"), "word").limit(DICTIONARY).collect()
+    best = sorted(_frequent(counts).collect(), key=lambda r: (-r.n, r.word))
     dictionary = {bytes(r.word): i for i, r in enumerate(best)}
     known = np.array([r.n for r in best], np.int64)
     top = known[:END]
