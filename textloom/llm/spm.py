@@ -16,7 +16,6 @@ not read, so their names cannot clash.
 
 from __future__ import annotations
 
-import gc
 import re
 import struct
 from collections.abc import Iterable, Iterator
@@ -110,10 +109,10 @@ class BpeModel:
         self.words = re.compile((f"[{cut}]+|" if ends else "") + f"{SPACE_SYMBOL}*[^{SPACE_SYMBOL}{cut}]+|{SPACE_SYMBOL}+")
         self.run = 0
         longest = max((len(p) for p in ids if set(p) == {SPACE_SYMBOL}), default=1)
-        if longest > 1 and self._merge([SPACE_SYMBOL * 2 * longest])[0] == [ids[SPACE_SYMBOL * longest]] * 2:
+        if longest > 1 and self._merge([SPACE_SYMBOL * 2 * longest])[0] == np.array([ids[SPACE_SYMBOL * longest]] * 2, np.int32).tobytes():
             self.run = longest  # long runs of spaces split into these from the left
 
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}  # ids as int32, which take far less room than lists
         surface = [
             {NORMAL: p.replace(SPACE_SYMBOL, " "), UNKNOWN: UNKNOWN_SURFACE, CONTROL: ""}.get(t, "").encode() if t != BYTE else bytes([int(p[3:5], 16)])
             for p, t in zip(self.pieces, self.types, strict=True)
@@ -128,8 +127,8 @@ class BpeModel:
         at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
         return np.where(self.pair_keys[at] == keys, self.pair_rank[at], NO_PAIR), self.pair_piece[at]
 
-    def _merge(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word (none may be empty)."""
+    def _merge(self, words: list[str]) -> list[bytes]:
+        """Ids of each word (none may be empty), as the bytes of int32 numbers."""
         joined = "".join(words)
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         lengths = np.fromiter(map(len, words), np.int64, len(words))
@@ -193,14 +192,16 @@ class BpeModel:
         ids = np.concatenate([x[1] for x in done])[order]
         origins = np.concatenate([x[2] for x in done])[order]
         ends = np.cumsum(np.bincount(words_of, minlength=len(words))).tolist()
-        listed, unknown = ids.tolist(), self.unknown_char
+        raw, unknown = ids.astype(np.int32).tobytes(), self.unknown_char
         out, at = [], 0
         odd = np.zeros(len(words), bool)
         odd[words_of[order][ids == unknown]] = True
         for end, has_unknown in zip(ends, odd.tolist(), strict=True):
-            own = listed[at:end]
+            own = raw[4 * at : 4 * end]
             if has_unknown:
-                own = list(chain.from_iterable([self.byte_ids[b] for b in joined[origins[k]].encode("utf-8", "replace")] if listed[k] == unknown else (listed[k],) for k in range(at, end)))
+                own = np.fromiter(
+                    chain.from_iterable([self.byte_ids[b] for b in joined[origins[k]].encode("utf-8", "replace")] if ids[k] == unknown else (ids[k],) for k in range(at, end)), np.int32
+                ).tobytes()
             out.append(own)
             at = end
         return out
@@ -216,7 +217,7 @@ class BpeModel:
             found = out
         return found
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, without begin or end ids."""
         split = [self._split(t) for t in texts]
         new = [w for w in dict.fromkeys(chain.from_iterable(split)) if w not in self.known]
@@ -226,7 +227,7 @@ class BpeModel:
         if new:
             self.known.update(zip(new, self._merge(new), strict=True))
         known = self.known
-        return [list(chain.from_iterable([known[w] for w in own])) for own in split]
+        return [np.frombuffer(b"".join([known[w] for w in own]), np.int32) for own in split]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: byte pieces form UTF-8, a broken byte becomes U+FFFD, the dummy prefix goes."""
@@ -278,17 +279,12 @@ def transcode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _model(shipped.value)
-        gc.disable()  # the many remembered lists hold no cycles, and going over them takes a fifth of the time
-        try:
-            for batch in batches:
-                for part in slices(batch, "text"):
-                    ids = bpe.encode([t or "" for t in part.column("text").to_pylist()])
-                    flat = pa.array(np.fromiter(chain.from_iterable(ids), np.int32))
-                    ends = pa.array(np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32))
-                    decoded = pa.array([bpe.decode(x) for x in ids], pa.string())
-                    yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(ends, flat), decoded], ["id", "ids", "decoded"])
-        finally:
-            gc.enable()
+        for batch in batches:
+            for part in slices(batch, "text"):
+                ids = bpe.encode([t or "" for t in part.column("text").to_pylist()])
+                ends = pa.array(np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32))
+                decoded = pa.array([bpe.decode(x.tolist()) for x in ids], pa.string())
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids))), decoded], ["id", "ids", "decoded"])
 
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return own.mapInArrow(run, f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
