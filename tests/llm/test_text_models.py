@@ -136,6 +136,14 @@ def test_lm_beyond_the_dictionary(spark, monkeypatch):
         assert math.isclose(r.base_score, sum(math.log10((c[w] + 1) / (9 + 5 + 1)) for w in words), rel_tol=1e-9)
 
 
+def test_lm_learns_from_every_text(spark, monkeypatch):
+    seen, summed = Counter(), lm._summed
+    monkeypatch.setattr(lm, "_summed", lambda texts, model: seen.update(r.text for r in texts.collect()) or summed(texts, model))
+    docs = spark.createDataFrame([(i, f"w{i} x") for i in range(5000)], "doc_id long, text string")
+    lm.learn(docs)
+    assert seen == Counter(f"w{i} x" for i in range(5000))
+
+
 @pytest.mark.skipif(not os.path.exists(MODEL), reason="no tokenizer")
 def test_spm(spark):
     import sentencepiece
