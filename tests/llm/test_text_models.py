@@ -144,6 +144,15 @@ def test_lm_learns_from_every_text(spark, monkeypatch):
     assert seen == Counter(f"w{i} x" for i in range(5000))
 
 
+def test_lm_tells_rare_words_apart(spark, monkeypatch):
+    monkeypatch.setattr(lm, "DICTIONARY", 2)
+    docs = spark.createDataFrame([(i, "x y r1 x" if i % 2 else "y x r2 y") for i in range(100)], "doc_id long, text string")
+    model, counts = lm.learn(docs)
+    tests = spark.createDataFrame([(1, "r1 x"), (2, "r1 y"), (3, "r2 x"), (4, "r2 y")], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm.score(tests, model, counts).collect()}
+    assert got[1] > got[2] + 0.1 and got[4] > got[3] + 0.1
+
+
 @pytest.mark.skipif(not os.path.exists(MODEL), reason="no tokenizer")
 def test_spm(spark):
     import sentencepiece
