@@ -88,6 +88,20 @@ def test_quality_rules(spark):
     assert quality.score(_docs(spark, []), forest).count() == 0
 
 
+def test_quality_forest_grows_on_the_natural_share(spark, monkeypatch):
+    grown, grow = [], quality.Forest.grow
+    monkeypatch.setattr(quality.Forest, "grow", staticmethod(lambda rows: grown.append(rows) or grow(rows)))
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(500)]
+    rows = [(i, _sentence(rng, words if i % 10 else [f"{w}$$$" for w in words], 80), None) for i in range(1000)]
+    labels = spark.createDataFrame([(i, int(i % 10 > 0)) for i in range(1000)], "doc_id long, quality int")
+    forest = quality.learn(_docs(spark, rows), labels, rows=200)
+    (own,) = grown
+    bad = (own[:, 0] > 0).mean()
+    assert 100 < len(own) < 300 and 0.02 < bad < 0.25
+    assert {r.doc_id for r in quality.good_rows(_docs(spark, rows), forest).collect()} == {i for i in range(1000) if i % 10}
+
+
 def test_toxicity(spark):
     rng = random.Random(2)
     words = [f"{a}{b}" for a in "ban dor lim sur tek".split() for b in "a en os il".split()]

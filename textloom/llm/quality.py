@@ -191,11 +191,14 @@ class Forest:
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = LABELLED_ROWS) -> Forest:
-    """A forest over the statistics of about `rows` labelled texts at most, half of them good (label 1)
-    and half bad (label 0), with thresholds that tell those apart which the base rule lets pass.
-    A document with several labels takes the least."""
+    """A forest over the statistics of about `rows` labelled texts at most, grown where good (label 1) and bad (label 0)
+    have their natural shares, since anomalies are rare, with thresholds from about half as many of each label,
+    that tell those apart which the base rule lets pass. A document with several labels takes the least."""
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("label"))
-    sample = F.broadcast(bounded_sample(marked, "id", rows // 2, by="label", groups=2))
+    marked = marked.where(F.col("label").isin(0, 1))
+    natural = bounded_sample(marked, "id", rows).withColumn("grown", F.lit(True))
+    by_label = bounded_sample(marked, "id", rows // 2, by="label", groups=2).withColumn("judged", F.lit(True))
+    sample = F.broadcast(natural.join(by_label, ["id", "label"], "full"))
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(sample, "id")
 
     def judge():
@@ -205,13 +208,14 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
         return of
 
-    got = with_scores(chosen, "id", "text", judge, [("failed", pa.bool_()), ("features", pa.list_(pa.float64()))], {"label": F.col("label")})
+    got = with_scores(chosen, "id", "text", judge, [("failed", pa.bool_()), ("features", pa.list_(pa.float64()))], {c: F.col(c) for c in ("label", "grown", "judged")})
     got = got.where(~F.col("failed")).orderBy("id", "label", "features").collect()
-    good = np.array([r.features for r in got if r.label == 1])
-    bad = np.array([r.features for r in got if r.label == 0])
-    if not len(good) or not len(bad):
+    good = np.array([r.features for r in got if r.judged and r.label == 1])
+    bad = np.array([r.features for r in got if r.judged and r.label == 0])
+    grown = [r.features for r in got if r.grown and r.label == 1] + [r.features for r in got if r.grown and r.label == 0]
+    if not len(good) or not len(bad) or not grown:
         return Forest.grow(np.zeros((2, len(RULES))))
-    return Forest.grow(np.concatenate([good, bad])).calibrated(good, bad)
+    return Forest.grow(np.array(grown)).calibrated(good, bad)
 
 
 def score(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
