@@ -178,26 +178,27 @@ def sequence_hash(words: np.ndarray) -> np.uint64:
 
 
 def with_scores(docs: DataFrame, id_col: str, text_col: str, judge, fields: list[tuple[str, pa.DataType]], extra: dict[str, F.Column] | None = None) -> DataFrame:
-    """(id, extra columns, fields) of each row. judge() is called once in a task and gives a function
-    from an Arrow array of texts to one array for each field."""
+    """(id, extra columns, fields) of each row, under whatever names. judge() is called once in a task and gives a
+    function from an Arrow array of texts to one array for each field."""
+    from pyspark.sql.pandas.types import from_arrow_type
+    from pyspark.sql.types import StructField, StructType
+
     limit_batches(docs.sparkSession)
     extra = extra or {}
-    own = docs.select(F.col(id_col).alias("id"), *[c.alias(n) for n, c in extra.items()], F.col(text_col).alias("text"))
-    kept = [n for n in own.columns if n != "text"]
+    own = docs.select(*[c.alias(f"c{i}") for i, c in enumerate([F.col(id_col), *extra.values(), F.col(text_col)])])
+    kept = own.columns[:-1]
+    names = [*kept, *[f"f{i}" for i in range(len(fields))]]
 
     def run(batches):
         of = judge()
         for batch in batches:
-            for part in slices(batch, "text"):
-                got = of(part.column("text"))
-                columns = [part.column(n) for n in kept] + [g if isinstance(g, pa.Array) else pa.array(g, t) for g, (_, t) in zip(got, fields, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, kept + [n for n, _ in fields])
-
-    from pyspark.sql.pandas.types import from_arrow_type
-    from pyspark.sql.types import StructField, StructType
+            for part in slices(batch, f"c{len(kept)}"):
+                got = of(part.column(len(kept)))
+                columns = part.columns[:-1] + [g if isinstance(g, pa.Array) else pa.array(g, t) for g, (_, t) in zip(got, fields, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-    schema = StructType([own.schema[n] for n in kept] + [StructField(n, from_arrow_type(t)) for n, t in fields])
-    return own.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    schema = StructType([own.schema[n] for n in kept] + [StructField(f"f{i}", from_arrow_type(t)) for i, (_, t) in enumerate(fields)])
+    return own.mapInArrow(run, schema).toDF(id_col, *extra, *[n for n, _ in fields])
 
 
 def kept_rows(docs: DataFrame, text_col: str, judge) -> DataFrame:
