@@ -4,11 +4,13 @@ import math
 import os
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from textloom.llm import language_id, lm, quality, spm, toxicity
 
@@ -139,6 +141,101 @@ def test_lm(spark):
     assert total <= 1 and math.isclose(whole, 1, rel_tol=1e-3)
 
 
+def _mixed(x):
+    """The 64-bit mixing function in whole numbers."""
+    m = (1 << 64) - 1
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & m
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & m
+    return x ^ x >> 31
+
+
+def _log10_score(model, counts, text):
+    """The model's score of a text, one token at a time."""
+    words = [w.encode() for w in text.lower().split()]
+    groups = lm.CLASSES * lm.WIDTH
+    total, history = 0.0, [lm.START, lm.START]
+    for word in [*words, None]:
+        outcome = model.end if word is None else model.dictionary.get(word, model.end + 1)
+        last, skipped = history[-1], history[-2]
+        group = outcome // model.width
+        hashed = lambda kind, a, b=0: _mixed((_mixed(a + (kind << 40)) + b) % (1 << 64))
+        levels = [
+            (1, 0, [hashed(1, last), hashed(2, last, skipped), hashed(3, skipped)], group // lm.WIDTH),
+            (lm.CLASSES, group // lm.WIDTH, [hashed(4, last, group // lm.WIDTH)], group % lm.WIDTH),
+            (groups, group, [hashed(5, last, group)], outcome % model.width),
+        ]
+        for table, (free, bias, features, target) in zip(model.tables, levels, strict=True):
+            logits = [float(x) for x in table[bias]]
+            for h in features:
+                logits = [x + float(y) for x, y in zip(logits, table[free + h % (len(table) - free)], strict=True)]
+            total += (logits[target] - math.log(sum(math.exp(x) for x in logits))) / math.log(10)
+        if word is not None and word not in model.dictionary:
+            total += math.log10((counts.get(word, 0) + 1) / model.rare)
+        history.append(zlib.crc32(word) if word is not None else 0)
+    return total
+
+
+def test_lm_scores_as_a_plain_loop(spark, monkeypatch):
+    monkeypatch.setattr(lm, "DICTIONARY", 40)
+    rng = random.Random(8)
+    words = [f"w{int(rng.paretovariate(0.7))}" for _ in range(3000)]
+    rows = [(i, _sentence(rng, words, rng.randint(0, 40)), None) for i in range(200)]
+    docs = _docs(spark, rows)
+    model, counts = lm.learn(docs.where("doc_id < 150"))
+    assert len(model.dictionary) == 40 and any(np.abs(t[lm._free(k) :]).max() > 0 for k, t in enumerate(model.tables))
+    counted = {bytes(r.word): r.n for r in counts.collect()}
+    for r in lm.score(docs, model, counts).collect():
+        assert math.isclose(r.score, _log10_score(model, counted, rows[r.doc_id][1]), rel_tol=1e-4), r
+
+
+def test_lm_sums_as_a_plain_loop():
+    rng = np.random.default_rng(3)
+    for n, hot in ((1, 1), (5, 2), (3000, 40), (3000, 2900)):
+        to, values, sums = rng.integers(0, hot, n), rng.random((n, 4), dtype=np.float32), np.zeros((3000, 4), np.float32)
+        expected = np.zeros((3000, 4))
+        for t, v in zip(to.tolist(), values.tolist(), strict=True):
+            expected[t] += v
+        lm._add_rows(sums, to, values)
+        assert np.allclose(sums, expected, rtol=1e-4)
+
+
+def test_lm_first_gradient_is_the_gradient(spark):
+    docs = spark.createDataFrame([(i, f"a b{i % 3} c{i % 5} a d{i}") for i in range(40)], "doc_id long, text string")
+    model, _ = lm.learn(docs.where("doc_id < 0"))
+    trained, _ = lm.learn(docs)
+    for table, own in zip(model.tables, trained.tables, strict=True):
+        assert table.shape == own.shape
+    bare = [np.where(np.arange(len(t))[:, None] < lm._free(k), t, 0).astype(np.float32) for k, t in enumerate(trained.tables)]
+    bare = lm.Model(**(vars(trained) | {"tables": bare}))
+    texts = pa.array([r.text for r in docs.collect()]).cast(pa.binary())
+    numbers, lengths, words = lm._numbered(bare, texts)
+    found = lm._outcomes(bare, [w for own in words for w in own], numbers, lengths)
+    whole, first = ([np.zeros(t.shape, np.float32) for t in bare.tables for _ in range(2)] for _ in range(2))
+    met = [np.zeros((len(bare.tables[k]), lm._free(k)), np.float32) for k in range(2)]
+    lm._gradient(bare, *found, whole)
+    lm._first_gradient(bare, *found, first, met)
+    lm._expected(bare, first, met)
+    assert all(np.allclose(a, b, rtol=1e-3, atol=1e-3) for a, b in zip(whole, first, strict=True))
+
+
+@pytest.mark.parametrize(("limit", "expected"), [(3, 3), (6, 6), (9, 9), (100, 16)])
+def test_lm_dictionary_takes_words_in_order_of_their_counts(spark, monkeypatch, limit, expected):
+    monkeypatch.setattr(lm, "DICTIONARY", limit)
+    # One word of 9, six of 5, nine of 1: the limit falls among equals.
+    counts = spark.createDataFrame([(bytearray(f"w{i}".encode()), 9 if i == 0 else 5 if i < 7 else 1) for i in range(16)], "word binary, n long")
+    found = lm._frequent(counts)
+    assert len(found) == expected
+    assert [n for _, n in found] == sorted([9, *[5] * 6, *[1] * 9], reverse=True)[:limit]
+
+
+def test_lm_clashing_names(spark):
+    names = "row known base model outside rare times add seen n_tokens word score".split()
+    docs = spark.createDataFrame([(1, "a b a", *range(12)), (2, None, *range(12))], f"doc_id long, text string, {', '.join(f'`{n}` int' for n in names)}")
+    model, counts = lm.learn(docs)
+    got = lm.score(docs, model, counts, extra={n: F.col(n) for n in names[:9]}).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.row, r.known, r.seen, r.n_tokens, r.n_known) for r in got] == [(1, 0, 1, 8, 4, 4), (2, 0, 1, 8, 1, 1)]
+
+
 def test_lm_beyond_the_dictionary(spark, monkeypatch):
     monkeypatch.setattr(lm, "DICTIONARY", 2)
     docs = spark.createDataFrame([(1, "a a a b b c c d"), (2, "c d d e")], "doc_id long, text string")
@@ -152,7 +249,7 @@ def test_lm_beyond_the_dictionary(spark, monkeypatch):
 
 def test_lm_learns_from_every_text(spark, monkeypatch):
     seen, summed = Counter(), lm._summed
-    monkeypatch.setattr(lm, "_summed", lambda texts, model: seen.update(r.text for r in texts.collect()) or summed(texts, model))
+    monkeypatch.setattr(lm, "_summed", lambda texts, *rest, **named: seen.update(r.text for r in texts.collect()) or summed(texts, *rest, **named))
     docs = spark.createDataFrame([(i, f"w{i} x") for i in range(5000)], "doc_id long, text string")
     lm.learn(docs)
     assert seen == Counter(f"w{i} x" for i in range(5000))

@@ -9,9 +9,11 @@ its add-one share among the rare words and one unseen word. So the model is a di
 vocabulary as the unigram score. Outcomes and hash rows grow with the distinct words, up to the sizes below.
 
 Counts and weights cover all training texts. The weights start at the outcomes' frequencies and follow distributed
-gradient updates, each over a shard of the texts that a hash of the id gives, all shards once (a few texts are one shard,
-passed over in each round): each task sums the expected and the observed features over its texts, the
-sums are added by block, and the driver takes a damped step. Scoring adds sparse rows of the weights in
+gradient updates, each over a shard of the texts that a hash of the id gives, all shards once: each task sums the
+expected and the observed features over its texts, the sums are added by block, and the driver takes a step. The gradient
+of a weight is observed less expected; its step is that over the logarithmic mean of both (which makes it
+the logarithm of their ratio), over the features of a context. The first shard is the largest: as long as
+there are but biases, expectations are products of counts and frequencies. Scoring adds sparse rows of the weights in
 numpy, a batch of tokens at a time.
 
 The most frequent words travel to the executors with their counts (a bounded dictionary); only words
@@ -26,7 +28,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -38,15 +40,17 @@ from pyspark.sql import functions as F
 from textloom.llm.common import limit_batches, mix, slices, written
 
 #: Classes, and groups of outcomes in each. A group takes as many outcomes as the dictionary needs.
-CLASSES, WIDTH = 64, 64
+CLASSES, WIDTH = 16, 128
 #: Words whose counts travel to the executors; words that a task counts before it hands them on.
 DICTIONARY, COUNTED_AT_ONCE = 1 << 17, 300_000
 #: Hashed rows of each weight table: at least, at most, and distinct words for each row.
-LEAST_ROWS, MOST_ROWS, WORDS_PER_ROW = 1 << 13, 1 << 15, 8
-#: Texts that are passed over in every round; of more, each round takes a shard. Rounds, the steps' damping, their limit.
-FEW_TEXTS, ROUNDS, STEP, DAMPING, MOST = 4000, 4, 0.4, 20.0, 8.0
-#: Tasks of a round at least, and words for each where there are more.
-TASKS, TASK_WORDS = 6, 1 << 27
+LEAST_ROWS, MOST_ROWS, WORDS_PER_ROW = 1 << 13, 1 << 15, 128
+#: Shares of the texts in each round's shard; what is added to sums, and the most that a weight may be.
+SHARDS, DAMPING, MOST = (0.8, 0.1, 0.1), 3.0, 8.0
+#: Hashed features of a context of each table.
+FEATURES = (3, 1, 1)
+#: Tasks of a round at least, and words for each where there are more: a task sends sums of some 20 MB.
+TASKS, TASK_WORDS = 6, 1 << 24
 _TOKENS, _BLOCK = 1 << 16, 1 << 15
 
 #: What stands before the first word; words have 32-bit keys.
@@ -105,8 +109,7 @@ class Model:
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         """The dictionary numbers of words, -1 for others."""
-        get = self.dictionary.get
-        return np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        return np.fromiter(map(self.dictionary.get, words, repeat(-1)), np.int64, len(words))
 
 
 def _with_ends(values: np.ndarray, lengths: np.ndarray, end: int) -> np.ndarray:
@@ -124,7 +127,7 @@ def _outcomes(model: Model, words: list[bytes], numbers: np.ndarray, lengths: np
     inside = numbers >= 0
     keys[inside] = model.keys[numbers[inside]]
     beyond = np.flatnonzero(~inside)
-    keys[beyond] = np.fromiter((zlib.crc32(words[i]) for i in beyond.tolist()), np.uint64, len(beyond))
+    keys[beyond] = np.fromiter(map(zlib.crc32, map(words.__getitem__, beyond.tolist())), np.uint64, len(beyond))
     ends = np.cumsum(lengths + 1) - 1
     place = np.arange(len(numbers) + len(lengths)) - np.repeat(ends - lengths, lengths + 1)
     return _with_ends(np.where(inside, numbers, model.end + 1), lengths, model.end), place, _with_ends(keys, lengths, 0)
@@ -146,12 +149,24 @@ def _contexts(model: Model, outcomes: np.ndarray, place: np.ndarray, keys: np.nd
     hashed = [[_hash(1, last), both, _hash(3, skipped)], [of_class], [of_group]]
     biases, targets = [np.zeros(len(group), np.int64), group // WIDTH, group], [group // WIDTH, group % WIDTH, outcomes % model.width]
     for k, (context, bias, target) in enumerate(zip((both, of_class, of_group), biases, targets, strict=True)):
-        _, first, of, times = np.unique(context, return_index=True, return_inverse=True, return_counts=True)
+        first, of, times = _distinct(context)
         free = _free(k)
         size = np.uint64(len(model.tables[k]) - free)
         yield k, [bias[first], *[free + (h[first] % size).astype(np.int64) for h in hashed[k]]], times, of, target
 
 
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where one of each distinct value is, which of these each value is, and how often each occurs."""
+    order = values.argsort()
+    ordered = values[order]
+    new = np.ones(len(values), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    starts = np.flatnonzero(new)
+    of = np.empty(len(values), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return order[starts], of, np.diff(starts, append=len(values))
+
+
 def _free(table: int) -> int:
     """The biases of a table, its first rows."""
     return (1, CLASSES, CLASSES * WIDTH)[table]
@@ -195,12 +210,53 @@ def _gradient(model: Model, outcomes: np.ndarray, place: np.ndarray, keys: np.nd
         for k, rows, times, of, target in _contexts(model, outcomes[own], place[own], keys[own]):
             p = np.exp(_logits(model.tables[k], rows))
             p *= (times / p.sum(axis=1)).astype(np.float32)[:, None]
-            frame, flat = pd.DataFrame(p), sums[2 * k + 1].reshape(-1)
             for r in rows[1:]:  # the biases are the frequencies in all texts
-                added = frame.groupby(r, sort=False).sum()
-                sums[2 * k][added.index.to_numpy()] += added.to_numpy()
-                at, n = np.unique(r[of] * p.shape[1] + target, return_counts=True)
-                flat[at] += n
+                _add_rows(sums[2 * k], r, p)
+                _add_seen(sums[2 * k + 1], r[of], target)
+
+
+def _first_gradient(model: Model, outcomes: np.ndarray, place: np.ndarray, keys: np.ndarray, sums: list[np.ndarray], met: list[np.ndarray]) -> None:
+    """As _gradient(), of a model that has but biases: what its features meet is counted in met (for each of the first two
+    tables by row and bias), and _expected() makes sums of that."""
+    for own in _batches(place):
+        for k, rows, times, of, target in _contexts(model, outcomes[own], place[own], keys[own]):
+            for r in rows[1:]:
+                if k < 2:
+                    np.add.at(met[k].reshape(-1), r * met[k].shape[1] + rows[0], times.astype(np.float32))
+                else:
+                    _add_rows(sums[2 * k], r, _frequencies(model, k).take(rows[0], axis=0) * times[:, None].astype(np.float32))
+                _add_seen(sums[2 * k + 1], r[of], target)
+
+
+def _expected(model: Model, sums: list[np.ndarray], met: list[np.ndarray]) -> None:
+    for k, own in enumerate(met):
+        sums[2 * k] += own @ _frequencies(model, k)
+
+
+def _frequencies(model: Model, k: int) -> np.ndarray:
+    """The outcomes' probabilities for each bias of a table."""
+    return np.exp(model.tables[k][: _free(k)])
+
+
+def _add_seen(sums: np.ndarray, rows: np.ndarray, targets: np.ndarray) -> None:
+    np.add.at(sums.reshape(-1), rows * sums.shape[1] + targets, np.float32(1))
+
+
+def _add_rows(sums: np.ndarray, to: np.ndarray, values: np.ndarray) -> None:
+    """Add each row of values to the row of sums that `to` names: the first of each, then the second, and so on, as
+    long as there are many; what is left of the few frequent rows is summed at once."""
+    order = to.argsort()
+    ordered = to[order]
+    starts = np.flatnonzero(np.diff(ordered, prepend=-1))
+    times = np.diff(starts, append=len(to))
+    done = 0
+    while len(starts) > 64:
+        sums[ordered[starts]] += values[order[starts + done]]
+        done += 1
+        more = times > done
+        starts, times = starts[more], times[more]
+    for a, n in zip(starts.tolist(), times.tolist(), strict=True):
+        sums[ordered[a]] += values[order[a + done : a + n]].sum(axis=0)
 
 
 def _numbered(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
@@ -208,17 +264,29 @@ def _numbered(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, li
     return model.numbers(list(chain.from_iterable(words))), np.array([len(w) for w in words]), words
 
 
-def _frequent(counts: DataFrame) -> DataFrame:
-    """The most frequent words, DICTIONARY at most: those above a count that a histogram of a few hundred rows
-    gives. (Sorting with a limit would send the driver as many words from every task.)"""
-    step = F.floor(F.log2("n") * 16)
-    total, least = 0, None
-    for r in counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
-        total += r["count"]
-        if total > DICTIONARY:
-            break
-        least = r.step
-    return counts.where(step >= least) if least is not None else counts.limit(0)
+def _frequent(counts: DataFrame) -> list[tuple[bytes, int]]:
+    """The DICTIONARY most frequent words with their counts, of equal counts those whose hash is least.
+
+    Sorting with a limit would send the driver as many words from every task. Instead a histogram of a few hundred rows
+    finds the step of counts that the limit falls in, one of that step the count, and a bound on the hash leaves of the
+    words with this count not many more than there is room for."""
+    step, share = F.floor(F.log2("n") * 16), F.pmod(F.xxhash64("word"), F.lit(1 << 30)) / float(1 << 30)
+
+    def limit(of: DataFrame, by: F.Column, room: int):
+        """The value of `by` that the limit falls on, room for its words, and how many it has."""
+        for r in of.groupBy(by.alias("by")).count().orderBy(F.desc("by")).collect():
+            if r["count"] > room:
+                return r.by, room, r["count"]
+            room -= r["count"]
+        return None, room, 0
+
+    at, room, n = limit(counts, step, DICTIONARY)
+    wanted = F.lit(True)
+    if at is not None:
+        least, room, n = limit(counts.where(step == at), F.col("n"), room)
+        wanted = (F.col("n") > least) | (F.col("n") == least) & (share < (room + 8 * room**0.5 + 64) / n)
+    found = counts.where(wanted).select("word", "n", share.alias("share")).collect()
+    return [(bytes(r.word), r.n) for r in sorted(found, key=lambda r: (-r.n, r.share, r.word))[:DICTIONARY]]
 
 
 def learn(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[Model, DataFrame]:
@@ -227,9 +295,9 @@ def learn(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> t
     counts = written(count(texts, text_col), "counts")
     n_words, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n_texts = texts.count()
-    best = sorted(_frequent(counts).collect(), key=lambda r: (-r.n, r.word))
-    dictionary = {bytes(r.word): i for i, r in enumerate(best)}
-    known = np.array([r.n for r in best], np.int64)
+    best = _frequent(counts)
+    dictionary = {word: i for i, (word, _) in enumerate(best)}
+    known = np.array([n for _, n in best], np.int64)
     keys = np.fromiter((zlib.crc32(w) for w in dictionary), np.uint64, len(dictionary))
     # All words but the model's, each one's count plus one, and one unseen word.
     rare = float(n_words - known.sum() + distinct - len(known) + 1)
@@ -247,64 +315,79 @@ def learn(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> t
             table[: _free(k)] = np.maximum(np.log(part / part.sum(axis=-1, keepdims=True)), -30).reshape(-1, shapes[k])
     model = Model(dictionary, keys, known, n_texts, n_words + n_texts, distinct + bool(n_texts), rare, tables)
 
-    shards = ROUNDS if n_texts > FEW_TEXTS else 1
-    own = texts.select(F.pmod(F.xxhash64(id_col), F.lit(shards)).alias("shard"), F.col(text_col).alias("text"))
-    for i in range(ROUNDS):
-        sums = _summed(own.where(F.col("shard") == i % shards).select("text").coalesce(max(TASKS, n_words // TASK_WORDS)), model)
+    own = texts.select(F.pmod(F.xxhash64(id_col), F.lit(1000)).alias("shard"), F.col(text_col).alias("text"))
+    begin = 0
+    for i, part in enumerate(SHARDS):
+        end = 1000 if i == len(SHARDS) - 1 else begin + round(1000 * part)
+        shard = own.where(F.col("shard").between(begin, end - 1)).select("text")
+        sums = _summed(shard.coalesce(max(TASKS, int(n_words * part) // TASK_WORDS)), model, first=i == 0)
         for k, table in enumerate(model.tables):
             hashed = slice(_free(k), None)
             expected, seen = sums[2 * k][hashed], sums[2 * k + 1][hashed]
-            table[hashed] = np.clip(table[hashed] + STEP * (seen - expected) / (expected + DAMPING), -MOST, MOST)
+            table[hashed] += np.log((seen + DAMPING) / (expected + DAMPING)) / FEATURES[k]
+            np.clip(table[hashed], -MOST, MOST, out=table[hashed])
+        begin = end
     return model, counts
 
 
-def _summed(texts: DataFrame, model: Model) -> list[np.ndarray]:
-    """How often each feature of each table is expected, and how often it occurs, in the texts."""
+def _summed(texts: DataFrame, model: Model, first: bool) -> list[np.ndarray]:
+    """How often each feature of each table is expected, and how often it occurs, in the texts; first: the model has but
+    biases."""
     shipped = texts.sparkSession.sparkContext.broadcast(model)
     shapes = [t.shape for t in model.tables for _ in range(2)]
 
     def run(batches):
         model = shipped.value
         sums = [np.zeros(s, np.float32) for s in shapes]
+        met = [np.zeros((len(model.tables[k]), _free(k)), np.float32) for k in range(2 * first)]
         for batch in batches:
             for part in slices(batch, "text", 1 << 19):
                 numbers, lengths, words = _numbered(model, part.column("text"))
-                _gradient(model, *_outcomes(model, list(chain.from_iterable(words)), numbers, lengths), sums)
-        flat = np.concatenate([s.ravel() for s in sums])
-        flat = ((flat.view(np.uint32) + 0x8000) >> 16).astype(np.uint16)  # rounded to 8 bits, which halves the shuffle
-        blocks = [b for b in range(0, len(flat), _BLOCK) if flat[b : b + _BLOCK].any()]
-        yield pa.RecordBatch.from_pydict({"block": pa.array(blocks, pa.int64()), "x": pa.array([flat[b : b + _BLOCK].tobytes() for b in blocks], pa.binary())})
+                found = _outcomes(model, list(chain.from_iterable(words)), numbers, lengths)
+                _first_gradient(model, *found, sums, met) if first else _gradient(model, *found, sums)
+        _expected(model, sums, met)
+        at = 0
+        for own in sums:
+            own = own.reshape(-1)
+            for b in range(0, len(own), _BLOCK):
+                if (x := own[b : b + _BLOCK]).any():
+                    half = ((x.view(np.uint32) + 0x8000) >> 16).astype(np.uint16)  # rounded to 8 bits, which halves the shuffle
+                    yield pa.RecordBatch.from_pydict({"block": pa.array([at + b], pa.int64()), "x": pa.array([half.tobytes()], pa.binary())})
+            at += len(own)
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [(np.frombuffer(x, np.uint16).astype(np.uint32) << 16).view(np.float32) for x in pdf.x]
         return pd.DataFrame({"block": [int(pdf.block.iloc[0])], "x": [np.sum(parts, axis=0, dtype=np.float32).tobytes()]})
 
     out = np.zeros(sum(a * b for a, b in shapes), np.float32)
-    for r in texts.mapInArrow(run, "block long, x binary").groupBy("block").applyInPandas(total, "block long, x binary").collect():
-        own = np.frombuffer(r.x, np.float32)
-        out[r.block : r.block + len(own)] = own
+    got = texts.mapInArrow(run, "block long, x binary").groupBy("block").applyInPandas(total, "block long, x binary").toArrow()
+    for batch in got.to_batches():
+        for block, x in zip(batch.column("block").to_pylist(), batch.column("x"), strict=True):
+            own = np.frombuffer(x.as_buffer(), np.float32)
+            out[block : block + len(own)] = own
     shipped.unpersist()
     ends = np.cumsum([a * b for a, b in shapes])
     return [x.reshape(s) for x, s in zip(np.split(out, ends[:-1]), shapes, strict=True)]
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra: dict[str, F.Column] | None = None) -> DataFrame:
-    """(id, extra columns, n_tokens, n_known, train_tokens, base_score, score) of each text: tokens, those that occur in the
-    training texts, tokens of those, and the log10 probabilities by add-one unigrams and by the model."""
+    """(id, extra columns, n_tokens, n_known, train_tokens, base_score, score) of each text, under whatever names: tokens,
+    those that occur in the training texts, tokens of those, and the log10 probabilities by add-one unigrams and by the
+    model."""
     spark = docs.sparkSession
     limit_batches(spark)
     shipped = spark.sparkContext.broadcast(model)
     extra = extra or {}
-    own = docs.select(F.col(id_col).alias("id"), *[c.alias(n) for n, c in extra.items()], F.col(text_col).alias("text"))
-    kept = [c for c in own.columns if c != "text"]
+    own = docs.select(*[c.alias(f"c{i}") for i, c in enumerate([F.col(id_col), *extra.values(), F.col(text_col)])])
+    kept = own.columns[:-1]
 
     def run(batches):
         model = shipped.value
         logs = np.append(np.log10(model.counts + 1.0), 0.0)  # the last is that of words beyond the dictionary
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for part in slices(batch, "text"):
-                numbers, lengths, words = _numbered(model, part.column("text"))
+            for part in slices(batch, f"c{len(kept)}"):
+                numbers, lengths, words = _numbered(model, part.column(len(kept)))
                 text = np.repeat(np.arange(len(lengths)), lengths)
                 sums = lambda x: np.bincount(text, x, minlength=len(lengths))
                 outcomes, place, keys = _outcomes(model, list(chain.from_iterable(words)), numbers, lengths)
@@ -325,10 +408,10 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
                     "model": np.add.reduceat(by_token, starts),
                 }
                 row += len(lengths)
-                arrays = [*[part.column(c) for c in kept], *[pa.array(x) for x in columns.values()], pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))]
+                arrays = [*part.columns[:-1], *[pa.array(x) for x in columns.values()], pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(arrays, [*kept, *columns, "rare", "times"])
 
-    schema = ", ".join([f"`{c}` {own.schema[c].dataType.simpleString()}" for c in kept])
+    schema = ", ".join([f"{c} {own.schema[c].dataType.simpleString()}" for c in kept])
     schema += ", row long, n_tokens long, known long, outside long, base double, model double, rare array<binary>, times array<long>"
     rows = written(own.mapInArrow(run, schema), "scored")
     pairs = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
@@ -338,6 +421,6 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
     add = F.coalesce("add", F.lit(0.0))
     base = F.col("base") + add - F.col("n_tokens") * F.log10(F.lit(float(model.n + model.v + 1)))
     scored = F.col("model") + add - F.col("outside") * F.log10(F.lit(model.rare))
-    return out.select(
-        F.col("id").alias(id_col), *extra, "n_tokens", (F.col("known") + F.coalesce("seen", F.lit(0))).alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"), base.alias("base_score"), scored.alias("score")
-    )
+    known = F.col("known") + F.coalesce("seen", F.lit(0))
+    named = out.select(*kept, "n_tokens", known, F.lit(model.n).cast("long"), base, scored)
+    return named.toDF(id_col, *extra, "n_tokens", "n_known", "train_tokens", "base_score", "score")
