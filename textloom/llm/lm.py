@@ -51,7 +51,7 @@ SHARDS, DAMPING, MOST = (0.8, 0.1, 0.1), 3.0, 8.0
 FEATURES = (3, 1, 1)
 #: Tasks of a round at least, and words for each where there are more: a task sends sums of some 20 MB.
 TASKS, TASK_WORDS = 6, 1 << 24
-_TOKENS, _BLOCK = 1 << 16, 1 << 15
+_TOKENS, _CONTEXTS, _BLOCK = 1 << 16, 1 << 12, 1 << 15
 
 #: What stands before the first word; words have 32-bit keys.
 START = 1 << 32
@@ -137,9 +137,9 @@ def _hash(kind: int, a: np.ndarray, b: np.ndarray | int = 0) -> np.ndarray:
     return mix(mix(a + np.uint64(kind << 40)) + np.asarray(b).astype(np.uint64))
 
 
-def _contexts(model: Model, outcomes: np.ndarray, place: np.ndarray, keys: np.ndarray):
-    """For each table, of a batch of tokens: the table's number, the rows that each distinct context adds up (first its
-    bias), how often it occurs, and the context and the target of each token."""
+def _features(model: Model, outcomes: np.ndarray, place: np.ndarray, keys: np.ndarray):
+    """For each table, of a batch of tokens: its number, and the context of each token, the rows that it adds up (first
+    its bias) and the target."""
     before = np.full((2, len(outcomes)), START, np.uint64)
     for k in (1, 2):
         before[k - 1, k:] = np.where(place[k:] >= k, keys[:-k], np.uint64(START))
@@ -149,10 +149,17 @@ def _contexts(model: Model, outcomes: np.ndarray, place: np.ndarray, keys: np.nd
     hashed = [[_hash(1, last), both, _hash(3, skipped)], [of_class], [of_group]]
     biases, targets = [np.zeros(len(group), np.int64), group // WIDTH, group], [group // WIDTH, group % WIDTH, outcomes % model.width]
     for k, (context, bias, target) in enumerate(zip((both, of_class, of_group), biases, targets, strict=True)):
-        first, of, times = _distinct(context)
         free = _free(k)
-        size = np.uint64(len(model.tables[k]) - free)
-        yield k, [bias[first], *[free + (h[first] % size).astype(np.int64) for h in hashed[k]]], times, of, target
+        mask = np.uint64(len(model.tables[k]) - free - 1)  # there are a power of two
+        yield k, context, [bias, *[free + (h & mask).astype(np.int64) for h in hashed[k]]], target
+
+
+def _contexts(features):
+    """For each table its number, the rows of each distinct context, how often it occurs, and the context and the target
+    of each token."""
+    for k, context, rows, target in features:
+        first, of, times = _distinct(context)
+        yield k, [r[first] for r in rows], times, of, target
 
 
 def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -179,18 +186,48 @@ def _logits(table: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def log_probabilities(model: Model, outcomes: np.ndarray, place: np.ndarray, keys: np.ndarray | None = None) -> np.ndarray:
+class Normalisers:
+    """The logarithms of the sums over outcomes of contexts that were met, as many as there is room for: a context
+    has one place in each table's arrays, and a later one takes it over."""
+
+    def __init__(self, places: int = 1 << 18):
+        self.mask = np.uint64(places - 1)
+        self.contexts = np.zeros((3, places), np.uint64)
+        self.values = np.zeros((3, places), np.float32)
+
+    def of(self, table: np.ndarray, k: int, context: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+        at = (context & self.mask).astype(np.int64)
+        out = self.values[k].take(at)
+        missing = np.flatnonzero(self.contexts[k].take(at) != context)
+        if len(missing):
+            first, of, _ = _distinct(context[missing])
+            first = missing[first]
+            sums = np.empty(len(first), np.float32)
+            for i in range(0, len(first), _CONTEXTS):  # what fits a processor's cache
+                x = _logits(table, [r[first[i : i + _CONTEXTS]] for r in rows])
+                sums[i : i + _CONTEXTS] = np.exp(x, out=x).sum(axis=1)
+            np.log(sums, out=sums)
+            out[missing] = sums[of]
+            self.contexts[k, at[first]] = context[first]
+            self.values[k, at[first]] = sums
+        return out
+
+
+def log_probabilities(model: Model, outcomes: np.ndarray, place: np.ndarray, keys: np.ndarray | None = None, known: Normalisers | None = None) -> np.ndarray:
     """The natural log probability of each outcome given those before it in its text. Without keys, those of the
-    outcomes' words."""
+    outcomes' words. known: what earlier calls with this model have found."""
+    known = known or Normalisers(1 << 10)
     if keys is None:
-        known = outcomes < len(model.keys)
-        keys = np.where(known, model.keys[np.where(known, outcomes, 0)] if len(model.keys) else 0, outcomes).astype(np.uint64)
+        inside = outcomes < len(model.keys)
+        keys = np.where(inside, model.keys[np.where(inside, outcomes, 0)] if len(model.keys) else 0, outcomes).astype(np.uint64)
     total = np.zeros(len(outcomes))
     for own in _batches(place):
-        for k, rows, _, of, target in _contexts(model, outcomes[own], place[own], keys[own]):
-            x = _logits(model.tables[k], rows)
-            total[own] += x[of, target]
-            total[own] -= np.log(np.exp(x).sum(axis=1))[of]
+        for k, context, rows, target in _features(model, outcomes[own], place[own], keys[own]):
+            table = model.tables[k]
+            total[own] -= known.of(table, k, context, rows)
+            flat = table.reshape(-1)
+            for r in rows:
+                total[own] += flat.take(r * table.shape[1] + target)
     return total
 
 
@@ -207,7 +244,7 @@ def _batches(place: np.ndarray):
 def _gradient(model: Model, outcomes: np.ndarray, place: np.ndarray, keys: np.ndarray, sums: list[np.ndarray]) -> None:
     """Add to sums (for each table how often its features are expected, then how often they occur)."""
     for own in _batches(place):
-        for k, rows, times, of, target in _contexts(model, outcomes[own], place[own], keys[own]):
+        for k, rows, times, of, target in _contexts(_features(model, outcomes[own], place[own], keys[own])):
             p = np.exp(_logits(model.tables[k], rows))
             p *= (times / p.sum(axis=1)).astype(np.float32)[:, None]
             for r in rows[1:]:  # the biases are the frequencies in all texts
@@ -219,13 +256,14 @@ def _first_gradient(model: Model, outcomes: np.ndarray, place: np.ndarray, keys:
     """As _gradient(), of a model that has but biases: what its features meet is counted in met (for each of the first two
     tables by row and bias), and _expected() makes sums of that."""
     for own in _batches(place):
-        for k, rows, times, of, target in _contexts(model, outcomes[own], place[own], keys[own]):
+        for k, context, rows, target in _features(model, outcomes[own], place[own], keys[own]):
             for r in rows[1:]:
+                _add_seen(sums[2 * k + 1], r, target)
                 if k < 2:
-                    np.add.at(met[k].reshape(-1), r * met[k].shape[1] + rows[0], times.astype(np.float32))
-                else:
-                    _add_rows(sums[2 * k], r, _frequencies(model, k).take(rows[0], axis=0) * times[:, None].astype(np.float32))
-                _add_seen(sums[2 * k + 1], r[of], target)
+                    _add_seen(met[k], r, rows[0])
+            if k == 2:
+                first, _, times = _distinct(context)
+                _add_rows(sums[4], rows[1][first], _frequencies(model, k).take(rows[0][first], axis=0) * times[:, None].astype(np.float32))
 
 
 def _expected(model: Model, sums: list[np.ndarray], met: list[np.ndarray]) -> None:
@@ -383,6 +421,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
 
     def run(batches):
         model = shipped.value
+        found_sums = Normalisers()
         logs = np.append(np.log10(model.counts + 1.0), 0.0)  # the last is that of words beyond the dictionary
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
@@ -391,7 +430,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
                 text = np.repeat(np.arange(len(lengths)), lengths)
                 sums = lambda x: np.bincount(text, x, minlength=len(lengths))
                 outcomes, place, keys = _outcomes(model, list(chain.from_iterable(words)), numbers, lengths)
-                by_token = log_probabilities(model, outcomes, place, keys) / np.log(10)
+                by_token = log_probabilities(model, outcomes, place, keys, found_sums) / np.log(10)
                 starts = np.cumsum(lengths + 1) - lengths - 1
                 beyond, at, rare, times = numbers < 0, 0, [], []
                 for w, n in zip(words, lengths.tolist(), strict=True):
