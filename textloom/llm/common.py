@@ -3,6 +3,8 @@ folder that all executors see, joins that survive hot keys, and words as flat nu
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,35 +21,55 @@ CHUNK_BYTES = 1 << 20
 #: Rows and bytes of an Arrow batch between the JVM and Python.
 BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
 
+#: Seed of samples.
+SEED = 17
+
 _own_dir: list[str] = []
 
 
 def limit_batches(spark: SparkSession) -> None:
-    """Bound what an Arrow batch holds, so that many long texts never meet in one."""
+    """Bound what an Arrow batch holds, so that many long texts never meet in one. The settings are the session's, as
+    Spark has no others for it; fewer rows, if set, stay as they are."""
     ship_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder named in spark.checkpoint.dir. Only where executors share the driver's disk (a local master, as in tests)
+    it may be unset; then it is a temporary one that goes when Python ends."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="textloom-"))
+        atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
     return f"file://{_own_dir[0]}"
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/textloom/{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet to the shared folder and read again: cuts the lineage, so that later
     stages neither repeat the work nor depend on any executor that did it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/textloom/{name}-{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_written(spark: SparkSession) -> None:
+    """Delete all tables that written() has made in this application. Results that were not saved cannot be read then."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fold(id_col: str, n: int) -> F.Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % n
@@ -115,6 +137,7 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+_alnum: list[np.ndarray] = []
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _rng.integers(1, 2**64, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -135,10 +158,30 @@ def _powers(n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def word_spans(data: np.ndarray, offs: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def letters_and_digits(data: np.ndarray) -> np.ndarray:
+    """Which bytes of UTF-8 text belong to letters and digits of any script."""
+    if not _alnum:
+        _alnum.append(np.fromiter((chr(c).isalnum() for c in range(0x110000)), bool, 0x110000))
+    out = _alnum[0][:256][data] & (data < 128)
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        first = data[lead]
+        size = 1 + (first >= 0xC0) + (first >= 0xE0) + (first >= 0xF0)
+        code = first & np.array([0, 0, 0x1F, 0x0F, 0x07], np.uint8)[size]
+        code = code.astype(np.int64)
+        for k in (1, 2, 3):
+            more = size > k
+            code[more] = code[more] << 6 | data[lead[more] + k] & 0x3F
+        word = _alnum[0][code]
+        for k in range(4):
+            out[lead[word & (size > k)] + k] = True
+    return out
+
+
+def word_spans(data: np.ndarray, offs: np.ndarray, space: np.ndarray = SPACE, inside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each word in data, and for each text the number of the first word at or
-    after its start (one more at the end)."""
-    inside = ~space[data]
+    after its start (one more at the end). inside: which bytes belong to words, if not all but space."""
+    inside = ~space[data] if inside is None else inside
     edge = np.zeros(len(data) + 1, bool)
     edge[offs] = True
     start = inside.copy()
@@ -217,16 +260,15 @@ def kept_rows(docs: DataFrame, text_col: str, judge) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
-def bounded_sample(rows: DataFrame, id_col: str, bound: int, by: str | None = None, groups: int = 512) -> DataFrame:
-    """About `bound` rows (for each value of `by`, of which the `groups` most frequent count), chosen by
-    a hash of the id, so that the same rows come out in every run; all rows if there are fewer."""
-    share = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
+def bounded_sample(rows: DataFrame, bound: int, key: str | None = None, by: str | None = None) -> DataFrame:
+    """About `bound` rows (for each value of `by`, of which null has none); all rows if there are fewer.
+
+    With a key, whose values must be distinct, its hash chooses them. Without one a random number does, since a hash would
+    take repeated rows all or none; its seed is fixed, so equal scans give equal samples."""
+    share = F.rand(SEED) if key is None else F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30)) / float(1 << 30)
     if by is None:
         return rows.where(share < min(1.0, bound / max(1, rows.count())))
-    counts = rows.groupBy(by).count().orderBy(F.desc("count"), by).limit(groups).collect()
-    if not counts:
-        return rows.limit(0)
-    limit = F.lit(0.0)
-    for value, n in counts:
-        limit = F.when(F.col(by) == value, F.lit(min(1.0, bound / n))).otherwise(limit)
-    return rows.where(share < limit)
+    limits = written(rows.where(F.col(by).isNotNull()).groupBy(by).agg((F.lit(float(bound)) / F.count("*")).alias("_limit")), "limits")
+    chosen = rows.withColumn("_share", share)
+    joined = chosen.join(F.broadcast(limits) if limits.count() <= BROADCAST_IDS // 16 else limits.hint("merge"), by)
+    return joined.where("_share < _limit").select(*rows.columns)

@@ -1,17 +1,18 @@
 """Benchmark decontamination: documents that hold a benchmark item, up to a share of edited words.
 
-Words are runs of letters and digits of the lower-cased text. Each item is embedded by CGK random walks:
+Words are runs of letters and digits, of any script, of the lower-cased text. Each item is embedded by CGK random walks:
 the walk stands on a word, emits it, and moves on or stays by a random bit of the step and the word, so
 that equal stretches meet again after an edit and edit distance becomes Hamming distance. A repetition
 samples a few places of the embedding; item-sized windows of a document with the same words there are
-candidates. Repetitions are added until edited copies of the items are found at the target recall. An
-exact edit distance over words decides.
+candidates. Repetitions are added until edited copies of the items, fresh ones in the end, are found at the target
+recall; items that MOST_REPETITIONS do not find so have all their anchored windows compared. An exact edit distance over
+words decides.
 
 Windows that cannot match are spared the walks, by bounds that lose nothing: e edits leave one of e+1
 stretches of an item whole, so a match holds one of its n-grams of that length, and it holds enough words
 of the items' vocabulary, and enough of its rare ones.
 
-The benchmark is taken in blocks of a bounded number of words, each of which passes over all documents.
+The benchmark's distinct texts are taken in blocks of a bounded number of words, each of which passes over all documents.
 
 Defined results: null and empty texts hold nothing; items without words match nothing; an item of
 fewer than five words matches only unedited; equal items, rows and ids each give their own rows; an empty
@@ -28,26 +29,26 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import kept_rows, limit_batches, mix, slices, text_bytes, window_hashes, word_hashes, word_spans, written
+from textloom.llm.common import kept_rows, limit_batches, letters_and_digits, mix, slices, text_bytes, window_hashes, word_hashes, word_spans, written
 
 #: Edited words that a copy may have, as a share of the item's, and the recall of candidates among
 #: copies with as many edits.
 EDITS, RECALL = 0.2, 0.995
-#: Sampled places of a repetition, and repetitions at most.
+#: Sampled places of a repetition, and repetitions at most before the exact way.
 PLACES, MOST_REPETITIONS = 3, 96
 #: Words of the benchmark in a block, at most (unless one item has more).
 BLOCK_WORDS = 500_000
+#: Blocks that a filter holds at once.
+BLOCKS_AT_ONCE = 2
 #: A word of the benchmark is rare if fewer items than this share (or three) have it.
 RARE = 0.03
 SEED = 23
 
-_CUT = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
-
 
 def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, and the first word of each text (one more at the end)."""
     data, offs = text_bytes(pc.utf8_lower(texts.cast(pa.large_string())))
-    starts, ends, first = word_spans(data, offs, _CUT)
+    starts, ends, first = word_spans(data, offs, inside=letters_and_digits(data))
     return word_hashes(data, starts, ends), first
 
 
@@ -64,6 +65,8 @@ class Class:
     grams: np.ndarray
     repetitions: list[tuple[int, list[int]]] = field(default_factory=list)
     keys: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
+    #: Of a class without repetitions: its items' n-grams in order, and the item and place of each.
+    places: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
 
 def _sampled(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int, places: list[int]) -> np.ndarray:
@@ -91,6 +94,32 @@ def _distance(item: np.ndarray, text: np.ndarray) -> int:
     return int(row.min())
 
 
+@dataclass
+class Copies:
+    """Edited copies of items of a class: their words, the starts of windows that may find them, each window's item (its
+    place in the class) and end, and the first window of each copy."""
+
+    n: int
+    words: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    item: np.ndarray
+    first: np.ndarray
+
+    @staticmethod
+    def of(items: list[int], texts: list[np.ndarray], margins: list[int]) -> Copies:
+        ends = np.cumsum([len(t) for t in texts])
+        windows = [2 * m + 1 for m in margins]
+        first = np.cumsum([0, *windows[:-1]])
+        starts = np.concatenate([e - len(t) + np.arange(w) for e, t, w in zip(ends.tolist(), texts, windows, strict=True)])
+        return Copies(len(items), np.concatenate(texts), starts, np.repeat(ends, windows), np.repeat(items, windows), first)
+
+    def found(self, seed: int, places: list[int], keys: np.ndarray) -> np.ndarray:
+        """Which copies a repetition finds; keys: those of the class's items."""
+        same = _sampled(self.words, self.starts, self.ends, seed, places) == keys[self.item]
+        return np.logical_or.reduceat(same, self.first)
+
+
 class Index:
     """The items of a block, ready to be found in documents."""
 
@@ -137,29 +166,42 @@ class Index:
         ends = np.cumsum(lengths)
         starts = ends - lengths
         rng = np.random.default_rng(SEED)
-        tests = self._edited(own, rng)
-        missed = np.ones(len(tests), bool)
-        while len(out.repetitions) < MOST_REPETITIONS:
+        copies, made = [self._edited(own, rng)], []
+        missed = [np.ones(copies[0].n, bool)]
+        while True:
+            if len(out.repetitions) >= 4 and sum(m.sum() for m in missed) <= (1 - recall) * sum(c.n for c in copies):
+                fresh = self._edited(own, rng)
+                left = ~np.logical_or.reduce([fresh.found(*r, k) for r, k in zip(out.repetitions, made, strict=True)])
+                if left.sum() <= (1 - recall) * fresh.n:
+                    return out
+                copies.append(fresh)
+                missed.append(left)
+            if len(out.repetitions) == MOST_REPETITIONS:
+                break
             seed = len(out.repetitions) + 1
             places = sorted(rng.choice(out.shortest, min(PLACES, out.shortest), replace=False).tolist())
             keys = _sampled(flat, starts, ends, seed, places)
             order = np.argsort(keys, kind="stable")
             out.repetitions.append((seed, places))
             out.keys.append((keys[order], np.array(own)[order]))
-            for t, (n, text, margin) in enumerate(tests):
-                if missed[t]:
-                    at = np.arange(0, 2 * margin + 1)
-                    found = _sampled(text, at, np.full(len(at), len(text)), seed, places)
-                    missed[t] = not (found == keys[own.index(n)]).any()
-            if len(out.repetitions) >= 4 and missed.mean() <= 1 - recall:
-                break
+            made.append(keys)
+            for m, c in zip(missed, copies, strict=True):
+                m &= ~c.found(seed, places, keys)
+        # The recall is not reached: n-grams and their places in the items lead to all windows that may match.
+        grams = [window_hashes(self.hashes[n], stretch) for n in own]
+        flat_grams = np.concatenate(grams)
+        order = np.argsort(flat_grams, kind="stable")
+        items = np.repeat(own, [len(g) for g in grams])
+        where = np.concatenate([np.arange(len(g)) for g in grams])
+        out.repetitions, out.keys, out.places = [], [], (flat_grams[order], items[order], where[order])
         return out
 
-    def _edited(self, own: list[int], rng: np.random.Generator) -> list[tuple[int, np.ndarray, int]]:
+    def _edited(self, own: list[int], rng: np.random.Generator) -> Copies:
         """Copies of items with as many random edits as allowed, between words of no item."""
-        out = []
-        picks = own if len(own) <= 64 else rng.choice(own, 64, replace=False).tolist()
-        for n in picks:
+        picks = list(range(len(own))) if len(own) <= 64 else rng.choice(len(own), 64, replace=False).tolist()
+        items, texts, margins = [], [], []
+        for i in picks:
+            n = own[i]
             for _ in range(max(1, 256 // len(picks))):
                 copy = self.items[n].tolist()
                 for _ in range(self.most[n]):
@@ -171,8 +213,10 @@ class Index:
                     elif len(copy) > 1:
                         del copy[at]
                 margin = max(1, self.most[n])
-                out.append((n, np.array([0] * margin + copy + [0] * margin), margin))
-        return out
+                items.append(i)
+                texts.append(np.array([0] * margin + copy + [0] * margin))
+                margins.append(margin)
+        return Copies.of(items, texts, margins)
 
     def find(self, texts: pa.Array) -> list[tuple[int, int, int, int]]:
         """(text number, item number, edits, first word of the region) of each item that a text holds."""
@@ -193,7 +237,8 @@ class Index:
             anchors = anchors[doc_of[anchors] == doc_of[anchors + stretch - 1]]
             for own in self.classes:
                 if own.stretch == stretch and len(anchors):
-                    self._candidates(own, ids, first, doc_of, known, rare, anchors[np.isin(grams[anchors], own.grams)], hits)
+                    at = anchors[np.isin(grams[anchors], own.grams)]
+                    self._candidates(own, ids, first, doc_of, known, rare, at, grams[at], hits)
         out = []
         for (doc, n), places in sorted(hits.items()):
             item, most = self.items[n], self.most[n]
@@ -213,11 +258,20 @@ class Index:
                 out.append((doc, n, best, where - int(first[doc])))
         return out
 
-
-    def _candidates(self, own: Class, ids, first, doc_of, known, rare, anchors, hits) -> None:
-        """Add to hits, by text and item, the starts of windows that a repetition finds."""
+    def _candidates(self, own: Class, ids, first, doc_of, known, rare, anchors, anchor_grams, hits) -> None:
+        """Add to hits, by text and item, the starts of windows that a repetition finds, or all that have an n-gram in its
+        place."""
         if not len(anchors):
             return
+        if own.places is not None:
+            grams, items, places = own.places
+            found = anchor_grams
+            low, high = np.searchsorted(grams, found), np.searchsorted(grams, found, "right")
+            for anchor, a, b in zip(anchors.tolist(), low.tolist(), high.tolist(), strict=True):
+                doc = int(doc_of[anchor])
+                for k in range(a, b):
+                    hits.setdefault((doc, int(items[k])), []).append(max(int(first[doc]), anchor - int(places[k])))
+            return
         low = np.maximum(anchors - own.window + own.stretch, first[doc_of[anchors]])
         mark = np.zeros(len(ids) + 1, np.int32)
         np.add.at(mark, low, 1)
@@ -235,28 +289,32 @@ class Index:
                     hits.setdefault((int(doc_of[starts[k]]), item), []).append(int(starts[k]))
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str):
-    """An Index for each block of the benchmark, one in memory at a time."""
-    own = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text"))
-    size = own.agg(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), r"\s+")))).first()[0] or 0
+def _blocks(benchmark: DataFrame, text_col: str):
+    """An Index for each block of the benchmark's distinct texts, one in the driver's memory at a time; its items are
+    the texts' hashes."""
+    texts = benchmark.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text")).distinct()
+    own = texts.select(_text_key("text").alias("item"), "text")
+    size = own.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     n = -(-size // BLOCK_WORDS)
     for block in range(n):
-        part = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(n)) == block
-        rows = own.where(part).orderBy("item", "text").collect()
+        rows = own.where(F.pmod(F.xxhash64("text"), F.lit(n)) == block).orderBy("item", "text").collect()
         if rows:
             yield Index([r.item for r in rows], [r.text for r in rows])
 
 
+def _text_key(column: str) -> F.Column:
+    return F.sha2(F.col(column), 256)
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id, item, edits, item_words, at) of each document and item that it holds: the least edits, the
     item's number of words, and the word of the document where the part that holds it begins."""
     spark = docs.sparkSession
     limit_batches(spark)
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kinds = f"id {own.schema['id'].dataType.simpleString()}, item {benchmark.schema[item_col].dataType.simpleString()}"
-    schema = f"{kinds}, edits int, item_words int, at long"
+    schema = f"id {own.schema['id'].dataType.simpleString()}, key string, edits int, item_words int, at long"
     out = spark.createDataFrame([], schema)
-    for index in _blocks(benchmark, item_col, item_text_col):
+    for index in _blocks(benchmark, item_text_col):
         shipped = spark.sparkContext.broadcast(index)
 
         def run(batches, shipped=shipped):
@@ -274,23 +332,31 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                                 pa.array([len(index.items[n]) for n in item], pa.int32()),
                                 pa.array(at, pa.int64()),
                             ],
-                            ["id", "item", "edits", "item_words", "at"],
+                            ["id", "key", "edits", "item_words", "at"],
                         )
 
         out = out.unionByName(written(own.mapInArrow(run, schema), "leaks"))
         shipped.unpersist()
-    return out.withColumnsRenamed({"id": id_col, "item": item_col})
-
-
-def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows, with all columns, that hold no item."""
-    for index in _blocks(benchmark, item_col, item_text_col):
-        shipped = docs.sparkSession.sparkContext.broadcast(index)
-
-        def judge(shipped=shipped):
+    items = benchmark.select(F.col(item_col).alias("item"), _text_key(item_text_col).alias("key"))
+    return out.join(items, "key").select(F.col("id").alias(id_col), F.col("item").alias(item_col), "edits", "item_words", "at")
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text_col: str = "text") -> DataFrame:
+    """The rows, with all columns, that hold no item. BLOCKS_AT_ONCE blocks are searched in a pass, then the rows are
+    written, so that no more indexes are on the executors at a time."""
+    shipped = []
+    for index in _blocks(benchmark, item_text_col):
+        if len(shipped) == BLOCKS_AT_ONCE:
+            docs = written(docs, "without-leaks")
+            for own in shipped:
+                own.unpersist()
+            shipped = []
+        shipped.append(docs.sparkSession.sparkContext.broadcast(index))
+
+        def judge(own=shipped[-1]):
             def keep(texts):
                 mask = np.ones(len(texts), bool)
-                mask[[doc for doc, *_ in shipped.value.find(texts)]] = False
+                mask[[doc for doc, *_ in own.value.find(texts)]] = False
                 return mask
 
             return keep

@@ -15,7 +15,8 @@ letters teach nothing; equal rows get equal results; only the named columns are
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +27,12 @@ from textloom.llm.common import bounded_sample, kept_rows, limit_batches, mix, w
 
 UNKNOWN = "und"
 DIMENSIONS = 1024
-#: Rows of a language that its prototype is learned from, and languages, at most.
-DOCS_PER_LANGUAGE, LANGUAGES = 4000, 512
-#: A text of LEAST_CHARS characters or more whose best cosine is below LEAST_COSINE resembles no learned
-#: language (the cosine of unrelated vectors is 0 with a standard deviation of 0.03); shorter texts may
-#: have so few n-grams that a low cosine says nothing.
-LEAST_COSINE, LEAST_CHARS = 0.06, 100
+#: Rows of a language that its prototype is learned from, at most.
+DOCS_PER_LANGUAGE = 4000
+#: A text resembles a learned language if its cosine is at least half that which LOW of the language's own texts stay below,
+#: and more than that of unrelated vectors, which is 0 with a standard deviation of DIMENSIONS ** -0.5, exceeds with the
+#: chance BY_CHANCE for any prototype.
+LOW, BY_CHANCE = 0.005, 0.001
 _ROWS, _GRAMS, _DENSE = 256, 8192, 1 << 22
 
 _letters: list[np.ndarray] = []
@@ -98,10 +99,11 @@ def _in_rows(texts: list[str]):
 
 @dataclass(frozen=True)
 class Profiles:
-    """Language names in order and their prototypes, scaled to length 1."""
+    """Language names in order, their prototypes, scaled to length 1, and the least cosine of a text that resembles each."""
 
     names: list[str]
     vectors: np.ndarray
+    least: np.ndarray | None = None
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         if not self.names:
@@ -118,11 +120,72 @@ class Profiles:
         return names, scores
 
 
-def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", docs_per_language: int = DOCS_PER_LANGUAGE) -> Profiles:
-    """Prototypes from rows with a language, from about docs_per_language rows of each at most."""
+def _sample(labelled: DataFrame, text_col: str, lang_col: str, docs_per_language: int) -> DataFrame:
     limit_batches(labelled.sparkSession)
-    rows = labelled.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    sample = bounded_sample(rows, "doc_id", docs_per_language, by="lang", groups=LANGUAGES).select("lang", "text")
+    return bounded_sample(labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")), docs_per_language, by="lang")
+
+
+def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", docs_per_language: int = DOCS_PER_LANGUAGE) -> Profiles:
+    """Prototypes of all languages, each from about docs_per_language of its rows at most."""
+    sample = _sample(labelled, text_col, lang_col, docs_per_language)
+
+    def run(batches):
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            langs, texts = batch.column("lang").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
+            at = 0
+            for rows in _in_rows(texts):
+                for row in rows.astype(np.int64):
+                    lang = langs[at]
+                    sums[lang] = sums[lang] + row if lang in sums else row
+                    at += 1
+        if sums:
+            yield pa.RecordBatch.from_pydict({"lang": list(sums), "vector": [v.tolist() for v in sums.values()]})
+
+    parts = sample.mapInArrow(run, "lang string, vector array<bigint>")
+    sums = parts.select("lang", F.posexplode("vector").alias("at", "x")).groupBy("lang", "at").agg(F.sum("x").alias("x"))
+    found = sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("at", "x"))).getField("x").alias("vector")).collect()
+    found = sorted((r.lang, r.vector) for r in found)
+    vectors = np.array([v for _, v in found], np.float64).reshape(len(found), DIMENSIONS)
+    lengths = np.sqrt((vectors**2).sum(axis=1))
+    some = lengths > 0
+    return Profiles([n for (n, _), s in zip(found, some, strict=True) if s], vectors[some] / lengths[some][:, None])
+
+
+def calibrated(profiles: Profiles, labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", docs_per_language: int = DOCS_PER_LANGUAGE) -> Profiles:
+    """The profiles with the least cosine of each language, from as many rows as learn() takes."""
+    if not profiles.names:
+        return profiles
+    sample = _sample(labelled, text_col, lang_col, docs_per_language)
+    said = predict(sample, profiles, "lang", "text").where("lang = lang_pred")
+    low = {r.lang: r.low for r in said.groupBy("lang").agg(F.percentile_approx("score", LOW, 10_000).alias("low")).collect()}
+    chance = NormalDist().inv_cdf(1 - BY_CHANCE / len(profiles.names)) * DIMENSIONS**-0.5
+    return replace(profiles, least=np.array([max(chance, low.get(n, 0.0) / 2) for n in profiles.names]))
+
+
+def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
+        if not self.names:
+            return [UNKNOWN] * len(texts), [0.0] * len(texts)
+        names: list[str] = []
+        scores: list[float] = []
+        for rows in _in_rows(texts):
+            rows = rows.astype(np.float64)
+            lengths = np.sqrt((rows * rows).sum(axis=1))
+            cosines = rows @ self.vectors.T / np.maximum(lengths, 1e-9)[:, None]
+            best = cosines.argmax(axis=1)
+            names += [self.names[b] if l else UNKNOWN for b, l in zip(best.tolist(), lengths.tolist(), strict=True)]
+            scores += np.clip(cosines[np.arange(len(rows)), best], 0, 1).tolist()
+        return names, scores
+
+
+def _sample(labelled: DataFrame, text_col: str, lang_col: str, docs_per_language: int) -> DataFrame:
+    limit_batches(labelled.sparkSession)
+    return bounded_sample(labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")), docs_per_language, by="lang")
+
+
+def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", docs_per_language: int = DOCS_PER_LANGUAGE) -> Profiles:
+    """Prototypes of all languages, each from about docs_per_language of its rows at most."""
+    sample = _sample(labelled, text_col, lang_col, docs_per_language)
 
     def run(batches):
         sums: dict[str, np.ndarray] = {}
@@ -158,16 +221,17 @@ def predict(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_co
     return with_scores(docs, id_col, text_col, judge, [("lang_pred", pa.string()), ("score", pa.float64())], extra)
 
 
-def in_learned_language(docs: DataFrame, profiles: Profiles, text_col: str = "text", least: float = LEAST_COSINE) -> DataFrame:
-    """The rows, with all columns, whose text resembles a learned language: not `und`, and the cosine
-    `least` or more if the text is long enough to tell."""
+def in_learned_language(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> DataFrame:
+    """The rows, with all columns, whose text resembles a learned language: not `und`, and with the least cosine of that
+    language or more (profiles come from calibrated()). Where nothing was learned no text does."""
     shipped = docs.sparkSession.sparkContext.broadcast(profiles)
 
     def judge():
+        least = dict(zip(shipped.value.names, shipped.value.least, strict=True)) if shipped.value.names else {}
+
         def keep(texts):
-            texts = [t or "" for t in texts.to_pylist()]
-            names, scores = shipped.value.predict(texts)
-            return [n != UNKNOWN and (s >= least or len(t) < LEAST_CHARS) for n, s, t in zip(names, scores, texts, strict=True)]
+            names, scores = shipped.value.predict([t or "" for t in texts.to_pylist()])
+            return [n in least and s >= least[n] for n, s in zip(names, scores, strict=True)]
 
         return keep
 

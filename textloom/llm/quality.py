@@ -1,10 +1,10 @@
 """Quality rules: statistics of each text, and an isolation forest that finds texts whose statistics
 are anomalous: the shorter the mean path on which random splits isolate a text, the more anomalous.
 
-Each rule is a statistic with trees of its own, that split on it alone, so that an extreme of one rule
-is not hidden by the ordinary spread of the others. Each rule's threshold comes from labelled rows: the
-one that finds most bad texts while it rejects hardly any good ones; a rule that cannot tell them apart
-rejects nothing. The statistics are shares, so long clean texts look like short ones.
+The forest has a group of trees over all statistics, each split of which takes a random one at a random value, and
+for each rule a group of trees that split on its statistic alone, so that an extreme of one rule is not hidden by the
+ordinary spread of the others. Each group's threshold comes from labelled rows: the one that finds most bad
+texts while it rejects hardly any good ones; a group that cannot tell them apart rejects nothing. The statistics are shares, so long clean texts look like short ones.
 
 Defined results: a null or empty text has no words and fails the base rule; without labelled rows of
 both kinds no text is anomalous; ties at a threshold are kept; equal rows get equal results; only the
@@ -25,9 +25,9 @@ from textloom.llm.common import SPACE, bounded_sample, kept_rows, mix, text_byte
 #: Fixed values of the base rules.
 SYMBOLS = b"#*$%&|<>"
 LEAST_WORDS, REPEAT_WINDOW, MOST_REPEATED_PERCENT = 50, 3, 50
-#: Trees of each rule, rows of each tree, and how many labelled rows they are learned from, at most.
-TREES, SUBSAMPLE, LABELLED_ROWS = 32, 256, 20_000
-#: The rule and threshold chosen next maximise the share of bad texts newly found less GOOD_WEIGHT times
+#: Trees over all statistics, trees of each rule, rows of each tree, and labelled rows they are learned from, at most.
+JOINT_TREES, TREES, SUBSAMPLE, LABELLED_ROWS = 96, 32, 256, 20_000
+#: The group and threshold chosen next maximise the share of bad texts newly found less GOOD_WEIGHT times
 #: that of good ones rejected, and find LEAST_FOUND of the bad ones at least.
 GOOD_WEIGHT, LEAST_FOUND = 50, 0.02
 SEED = 7
@@ -119,56 +119,65 @@ def _path(n: np.ndarray | float) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Forest:
-    """Trees as arrays by node: whether it splits, the value, the left child (the right one follows
-    it), and at leaves the path length. roots has the first nodes of each rule's trees."""
+    """Trees as arrays by node: whether it splits, on which statistic and value, the left child (the right one follows
+    it), and at leaves the path length. roots has the first nodes of each group's trees: those over all statistics, then
+    those of each rule."""
 
     inner: np.ndarray
+    rule: np.ndarray
     split: np.ndarray
     child: np.ndarray
     length: np.ndarray
-    roots: np.ndarray
+    roots: list[np.ndarray]
     scale: float
     thresholds: np.ndarray
 
     @staticmethod
-    def grow(rows: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = SEED) -> Forest:
+    def grow(rows: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = SEED, joint: int = JOINT_TREES) -> Forest:
         rng = np.random.default_rng(seed)
-        size = min(subsample, len(rows))
+        size, rules = min(subsample, len(rows)), rows.shape[1]
         depth = int(np.ceil(np.log2(max(size, 2))))
         nodes: list[list[float]] = []
-        roots = np.zeros((rows.shape[1], trees), np.int64)
-        for rule, tree in np.ndindex(*roots.shape):
-            roots[rule, tree] = len(nodes)
-            nodes.append([0, 0, 0, 0])
-            todo = [(len(nodes) - 1, rows[rng.choice(len(rows), size, replace=False), rule], 0)]
-            while todo:
-                at, own, level = todo.pop()
-                if level >= depth or not len(own) or own.min() == own.max():
-                    nodes[at] = [0, 0, 0, level + float(_path(len(own)))]
-                    continue
-                value = float(rng.uniform(own.min(), own.max()))
-                nodes[at] = [1, value, len(nodes), 0]
-                todo += [(len(nodes), own[own <= value], level + 1), (len(nodes) + 1, own[own > value], level + 1)]
-                nodes += [[0, 0, 0, 0], [0, 0, 0, 0]]
+        roots = [np.zeros(joint, np.int64), *(np.zeros(trees, np.int64) for _ in range(rules))]
+        for group, own_roots in enumerate(roots):
+            among = np.arange(rules) if group == 0 else np.array([group - 1])
+            for tree in range(len(own_roots)):
+                own_roots[tree] = len(nodes)
+                nodes.append([0, 0, 0, 0, 0])
+                todo = [(len(nodes) - 1, rows[rng.choice(len(rows), size, replace=False)], 0)]
+                while todo:
+                    at, own, level = todo.pop()
+                    low, high = (own[:, among].min(axis=0), own[:, among].max(axis=0)) if len(own) else (np.zeros(1), np.zeros(1))
+                    differ = np.flatnonzero(low < high)
+                    if level >= depth or not len(differ):
+                        nodes[at] = [0, 0, 0, 0, level + float(_path(len(own)))]
+                        continue
+                    k = int(rng.choice(differ))
+                    rule, value = int(among[k]), float(rng.uniform(low[k], high[k]))
+                    nodes[at] = [1, rule, value, len(nodes), 0]
+                    left = own[:, rule] <= value
+                    todo += [(len(nodes), own[left], level + 1), (len(nodes) + 1, own[~left], level + 1)]
+                    nodes += [[0, 0, 0, 0, 0], [0, 0, 0, 0, 0]]
         table = np.array(nodes)
-        return Forest(table[:, 0] > 0, table[:, 1], table[:, 2].astype(np.int64), table[:, 3], roots, float(_path(size)) or 1.0, np.full(rows.shape[1], np.inf))
+        whole = lambda k: table[:, k].astype(np.int64)
+        return Forest(table[:, 0] > 0, whole(1), table[:, 2], whole(3), table[:, 4], roots, float(_path(size)) or 1.0, np.full(len(roots), np.inf))
 
     def anomaly(self, rows: np.ndarray) -> np.ndarray:
-        """For each row and rule 0 to 1; the shorter the mean path, the higher."""
-        out = np.zeros(rows.shape)
-        for rule, roots in enumerate(self.roots):
-            values = rows[:, rule, None]
+        """For each row and group 0 to 1; the shorter the mean path, the higher."""
+        out = np.zeros((len(rows), len(self.roots)))
+        flat, first = rows.reshape(-1), np.arange(len(rows))[:, None] * rows.shape[1]
+        for group, roots in enumerate(self.roots):
             at = np.broadcast_to(roots, (len(rows), len(roots)))
             while (inner := self.inner[at]).any():
-                at = np.where(inner, self.child[at] + (values > self.split[at]), at)
-            out[:, rule] = 2.0 ** (-self.length[at].mean(axis=1) / self.scale)
+                at = np.where(inner, self.child[at] + (flat[first + self.rule[at]] > self.split[at]), at)
+            out[:, group] = 2.0 ** (-self.length[at].mean(axis=1) / self.scale)
         return out
 
     def calibrated(self, good: np.ndarray, bad: np.ndarray) -> Forest:
         """This forest with the thresholds that tell the rows of good and bad texts apart."""
         thresholds = np.full(len(self.roots), np.inf)
         own, other = np.sort(self.anomaly(good), axis=0), self.anomaly(bad)
-        todo = np.ones(len(bad), bool)  # bad texts that no rule finds yet
+        todo = np.ones(len(bad), bool)  # bad texts that no group finds yet
         while todo.any():
             best = (0.0, -1, 0.0)
             for rule in np.flatnonzero(np.isinf(thresholds)):
@@ -196,8 +205,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     that tell those apart which the base rule lets pass. A document with several labels takes the least."""
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("label"))
     marked = marked.where(F.col("label").isin(0, 1))
-    natural = bounded_sample(marked, "id", rows).withColumn("grown", F.lit(True))
-    by_label = bounded_sample(marked, "id", rows // 2, by="label", groups=2).withColumn("judged", F.lit(True))
+    natural = bounded_sample(marked, rows, key="id").withColumn("grown", F.lit(True))
+    by_label = bounded_sample(marked, rows // 2, key="id", by="label").withColumn("judged", F.lit(True))
     sample = F.broadcast(natural.join(by_label, ["id", "label"], "full"))
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(sample, "id")
 

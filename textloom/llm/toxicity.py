@@ -115,7 +115,7 @@ def learn(
     limit_batches(spark)
     marked = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
     all_rows = {r.label: r["count"] for r in marked.groupBy("label").count().collect()}
-    chosen = F.broadcast(bounded_sample(marked, "id", rows_per_class, by="label", groups=2))
+    chosen = F.broadcast(bounded_sample(marked, rows_per_class, key="id", by="label"))
     sample = written(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id").repartition(8, "id"), "toxicity-sample")
     rows = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
     nothing = np.full(1 << BUCKET_BITS, -1, np.int16)

@@ -47,7 +47,7 @@ ID = "urn:textloom:record:"
 def train(rows: DataFrame, id_col: str, payload_col: str) -> bytes:
     """A dictionary from the beginnings of a bounded sample of the payloads."""
     start = F.substring(F.coalesce(F.col(payload_col), F.lit("")), 1, SAMPLE_BYTES)
-    sample = bounded_sample(rows.select(F.col(id_col).alias("id"), start.alias("start")), "id", SAMPLE_ROWS).orderBy("id", "start")
+    sample = bounded_sample(rows.select(F.col(id_col).alias("id"), start.alias("start")), SAMPLE_ROWS).orderBy("id", "start")
     texts = [_record(f"<{ID}{r.id}>", "response", "http://example.com/", r.start.encode(), "", None, DATE) for r in sample.limit(2 * SAMPLE_ROWS).collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, texts).as_bytes()
