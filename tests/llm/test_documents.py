@@ -6,7 +6,6 @@ import re
 
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
 import corpus_pipeline
 from textloom.llm import decontaminate, language_id, near_dedup, quality
@@ -81,6 +80,34 @@ def test_first_of_each(spark):
     assert near_dedup.first_of_each(docs.limit(0)).count() == 0
 
 
+def test_rows_of_an_id_with_different_texts_stay(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f"), (1, "g h i j k l"), (1, "a b c d e f"), (2, "m n")], "doc_id long, text string")
+    assert sorted(r.text for r in near_dedup.first_of_each(docs).collect()) == ["a b c d e f", "g h i j k l", "m n"]
+
+
+def test_many_texts_of_one_template(spark):
+    """20,000 texts that share most of their words but are not near enough."""
+    import time
+
+    rng = random.Random(11)
+    frame = [f"t{i}" for i in range(40)]
+    rows = []
+    for i in range(20_000):
+        own = list(frame)
+        for k in range(0, 40, 10):
+            own[k] = f"f{rng.randrange(60)}"
+        rows.append((i, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    began = time.monotonic()
+    got = near_dedup.groups(docs, 3, 85).collect()
+    assert time.monotonic() - began < 150 and len(got) == 20_000
+    sample = rng.sample(got, 40)
+    sets = {i: _set(t, 3) for i, t in rows}
+    for r in sample:  # all links of a text
+        near = [i for i, s in sets.items() if 100 * len(s & sets[r.doc_id]) >= 85 * len(s | sets[r.doc_id])]
+        assert len({g.component_id for g in got if g.doc_id in near}) == 1
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(40)] + [(2000, 2001 + i) for i in range(100)]
@@ -140,15 +167,91 @@ def test_short_items_match_unedited():
     assert [(doc, item, edits) for doc, item, edits, _ in got] == [(0, 0, 0)]
 
 
+def test_words_of_any_script_and_punctuation():
+    item = "Wie viele Äpfel hat der Baum im alten Garten hinter dem Haus des Bäckers"
+    printed = [f"x “{item.replace(' ', chr(0xA0), 3)}”—y", item.replace(" der", "… der").replace(" im", " – im").upper(), "«" + item.replace(" ", "\u2003") + "»", item.replace("Äpfel", "Birnen")]
+    index = decontaminate.Index([1], [item])
+    assert [(doc, edits) for doc, _, edits, _ in index.find(pa.array(printed))] == [(0, 0), (1, 0), (2, 0), (3, 1)]
+
+
+def test_the_exact_way(monkeypatch):
+    """Items that the repetitions do not find at the recall are found all the same."""
+    monkeypatch.setattr(decontaminate, "MOST_REPETITIONS", 4)
+    rng = random.Random(13)
+    items = [[f"w{rng.randrange(3000)}" for _ in range(400)] for _ in range(6)]
+    index = decontaminate.Index(list(range(6)), [" ".join(i) for i in items])
+    assert all(c.places is not None and not c.repetitions for c in index.classes)
+    texts = [" ".join(["x"] * 30 + _edited(rng, items[i % 6], 80) + ["y"] * 30) for i in range(30)] + [" ".join(rng.choice(items)[:200]), "", None]
+    assert {(doc, item) for doc, item, _, _ in index.find(pa.array(texts))} == {(i, i % 6) for i in range(30)}
+
+
+def test_recall_of_fresh_copies():
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(400)]
+    items = [[rng.choice(words) for _ in range(rng.randint(12, 60))] for _ in range(60)]
+    index = decontaminate.Index(list(range(60)), [" ".join(i) for i in items])
+    texts = [" ".join(["x"] * 5 + _edited(rng, items[i % 60], int(0.2 * len(items[i % 60]))) + ["y"] * 5) for i in range(600)]
+    found = {(doc, item) for doc, item, _, _ in index.find(pa.array(texts))}
+    assert sum((i, i % 60) in found for i in range(600)) >= 0.985 * 600
+
+
+def test_equal_items(spark):
+    item = "one two three four five six seven eight nine ten"
+    benchmark = spark.createDataFrame([(i, item) for i in range(5)] + [(9, item.upper()), (9, None), (None, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"x {item} y"), (1, f"x {item} y"), (None, item), (2, "x"), (3, None)], "doc_id long, text string")
+    got = decontaminate.leaks(docs, benchmark)
+    assert got.columns == ["doc_id", "item_id", "edits", "item_words", "at"]
+    assert sorted(str((r.doc_id, r.item_id)) for r in got.collect()) == sorted(str((d, i)) for d in (1, 1, None) for i in (0, 1, 2, 3, 4, 9, None))
+
+
+CLASHING = "id long, kept boolean, score double, label int, component long, c0 string, f0 int, item string, ids string"
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables")
+@pytest.mark.parametrize("stage", corpus_pipeline.STAGES[:-1], ids=lambda s: s[0])
+def test_stages_take_any_row(spark, stage):
+    """Nulls in any column, empty and very long texts, repeated rows, an empty table, clashing columns."""
+    docs = table(spark, FOLDER, "documents").limit(40).collect()
+    benchmark = table(spark, FOLDER, "benchmark").where("text is not null").first().text
+    own = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in docs]
+    long = " ".join(r.text or "" for r in docs) * 12
+    own += [(None, own[0][1], None, None, None), (900, None, None, None, None), (901, "", "en", "", 0), (902, " \n\t", "en", "s", 3), (903, long, "en", "s", len(long)), own[3], own[3], (904, f"{own[4][1]} {benchmark}", "en", "s", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = spark.createDataFrame([(*r, 1, True, 0.5, 0, 7, "c", 3, "i", None) for r in own], f"{schema}, {CLASHING}")
+    kept = stage[1](spark, rows, FOLDER)
+    assert kept.columns == rows.columns
+    plain = stage[1](spark, spark.createDataFrame(own, schema), FOLDER)
+    got = [tuple(r)[:5] for r in kept.collect()]
+    assert sorted(map(str, got)) == sorted(str(tuple(r)) for r in plain.collect())
+    assert set(map(str, got)) <= set(map(str, own)) and got
+    there = {r[0] for r in got}
+    expected = {"language_id": {903}, "quality_rules": set(), "near_duplicates": {900, 901, 902, 903}, "decontamination": {900, 901, 902}}
+    gone = {"language_id": {900, 901, 902}, "quality_rules": {900, 901, 902}, "near_duplicates": set(), "decontamination": {904}}
+    assert expected[stage[0]] <= there and not gone[stage[0]] & there
+    if stage[0] == "near_duplicates":
+        assert [r[0] for r in got].count(own[3][0]) == 1
+    assert stage[1](spark, rows.limit(0), FOLDER).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables")
+def test_encoding_takes_any_row(spark):
+    rows = spark.createDataFrame([(None, None, 1), (1, "", 2), (1, "a b", 3), (1, "a b", 3), (2, "word " * 60_000, 4)], "doc_id long, text string, n_tokens int")
+    got = corpus_pipeline.encoded(spark, rows, FOLDER).collect()
+    assert sorted((str(r.doc_id), r.n_tokens, r.decoded[:5]) for r in got if r.doc_id != 2) == sorted([("None", 0, ""), ("1", 0, ""), ("1", 2, "a b"), ("1", 2, "a b")])
+    assert corpus_pipeline.encoded(spark, rows.limit(0), FOLDER).count() == 0
+
+
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables")
 def test_pipeline(spark):
     import sentencepiece
 
     docs = table(spark, FOLDER, "documents")
     labels, benchmark = table(spark, FOLDER, "labels"), table(spark, FOLDER, "benchmark").collect()
-    said = {r.doc_id: r for r in language_id.predict(docs, language_id.learn(docs), extra={"n": F.length("text")}).collect()}
+    profiles = language_id.calibrated(language_id.learn(docs), docs)
+    least = dict(zip(profiles.names, profiles.least.tolist(), strict=True))
+    said = {r.doc_id: r for r in language_id.predict(docs, profiles).collect()}
     good = {r.doc_id for r in quality.score(docs, quality.learn(docs, labels)).where("kept").collect()}
-    rows = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id in good and said[r.doc_id].lang_pred != "und" and (said[r.doc_id].score >= language_id.LEAST_COSINE or said[r.doc_id].n < language_id.LEAST_CHARS)]
+    rows = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id in good and said[r.doc_id].score >= least.get(said[r.doc_id].lang_pred, 2)]
     first = {i for i, c in _groups(rows, near_dedup.SHINGLE_WORDS, near_dedup.PERCENT).items() if i == c}
     words = lambda t: re.findall(r"[^\W_]+", t.lower())
     wanted = [words(b.text) for b in benchmark]

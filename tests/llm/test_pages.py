@@ -195,7 +195,7 @@ def test_long_thread(spark):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, name):
     duck = duckdb.connect()
-    for t in ("pages", "conversations"):
+    for t in ("pages", "conversations", "documents"):
         duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
     relation = duck.execute(queries.oracle_sql()[name])
     names = sorted(d[0] for d in relation.description)

@@ -42,11 +42,74 @@ def test_language_id(spark, spoken):
     got = [(r.doc_id, r.lang_pred, r.score) for r in language_id.predict(_docs(spark, tests), profiles).collect()]
     assert [(i, l) for i, l, _ in got] == [(1, "en"), (2, "fr"), (3, "und"), (4, "und"), (5, "und"), (None, "en"), (1, "en"), (7, "en")]
     assert all(0 <= s <= 1 for _, _, s in got) and got[2][2] == 0 and got[0] == got[6]
-    kept = language_id.in_learned_language(_docs(spark, tests), profiles)
+    kept = language_id.in_learned_language(_docs(spark, tests), language_id.calibrated(profiles, _docs(spark, rows)))
     assert kept.columns == SCHEMA.replace(" long", "").replace(" string", "").replace(" int", "").split(", ")
     assert [r.doc_id for r in kept.collect()] == [1, 2, None, 1, 7]
     empty = _docs(spark, [])
-    assert language_id.learn(empty).names == [] and language_id.predict(empty, profiles).count() == 0
+    nothing = language_id.learn(empty)
+    assert nothing.names == [] and language_id.predict(empty, profiles).count() == 0
+    assert language_id.in_learned_language(_docs(spark, tests), language_id.calibrated(nothing, empty)).count() == 0
+
+
+def _bundle(text):
+    """The bundled vector of a text, one n-gram and one number at a time."""
+    codes = [ord(c) if c.isalpha() else 0 for c in f" {text.lower()} "]
+    vectors = {c: [int(x) for x in language_id.letter_vectors(np.array([c]))[0]] for c in set(codes)}
+    n = language_id.DIMENSIONS
+    out = [0] * n
+    for a, b, c in zip(codes, codes[1:], codes[2:], strict=False):
+        if b:
+            for i in range(n):
+                out[i] += vectors[a][(i - 2) % n] * vectors[b][(i - 1) % n] * vectors[c][i]
+    return out
+
+
+def test_language_id_is_bind_bundle_and_cosine(spark, spoken):
+    words, _ = spoken
+    rng = random.Random(12)
+    rows = [(i, _sentence(rng, words[l], 4), l) for i, l in enumerate(["en", "fr"] * 3)]
+    profiles = language_id.learn(_docs(spark, rows))
+    sums = {}
+    for _, text, lang in rows:
+        sums[lang] = [x + y for x, y in zip(sums.get(lang, [0] * language_id.DIMENSIONS), _bundle(text), strict=True)]
+    length = lambda v: math.sqrt(sum(x * x for x in v))
+    for text in ["the thing", "été, OÙ?", "other eaux", "q"]:
+        own = _bundle(text)
+        cosines = {l: sum(x * y for x, y in zip(own, v, strict=True)) / length(own) / length(v) for l, v in sums.items()}
+        (name,), (score,) = profiles.predict([text])
+        assert name == max(sorted(cosines), key=cosines.get) and math.isclose(score, max(0, max(cosines.values())), abs_tol=1e-5)
+
+
+def test_unlearned_languages_go(spark, spoken):
+    """Scripts and letters that no prototype has, of any length."""
+    words, rng = spoken
+    rows = [(i, _sentence(rng, words[l], 60), l) for i, l in enumerate(["en", "fr"] * 40)]
+    docs = _docs(spark, rows)
+    profiles = language_id.calibrated(language_id.learn(docs), docs)
+    foreign = ["".join(rng.choice(letters) for _ in range(n)) for letters in ("бвгджзклмн ", "漢字日本語文書") for n in (20, 200, 2000) for _ in range(20)]
+    kept = language_id.in_learned_language(_docs(spark, [(i, t, None) for i, t in enumerate(foreign)] + rows), profiles).collect()
+    assert sum(r.lang is None for r in kept) <= 2 and sum(r.lang is not None for r in kept) == len(rows)
+
+
+def test_all_languages_are_learned(spark):
+    rng = random.Random(14)
+    names = [f"l{i:03}" for i in range(600)]
+    own = {n: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzàéüßñ", k=6)) for _ in range(3)] for n in names}
+    profiles = language_id.learn(_docs(spark, [(i, " ".join(own[n]), n) for i, n in enumerate(names)]))
+    assert profiles.names == names
+    said, _ = profiles.predict([" ".join(own[n]) for n in names])
+    assert said == names
+
+
+def test_samples_are_bounded(spark):
+    """Null and repeated ids and a value with nearly all rows."""
+    from textloom.llm.common import bounded_sample
+
+    rows = spark.range(20_000).selectExpr("cast(null as long) as id", "'x' as text", "if(id % 100 = 0, 'b', 'a') as by")
+    assert 200 < bounded_sample(rows, 500).count() < 900
+    got = {r.by: r["count"] for r in bounded_sample(rows, 500, by="by").groupBy("by").count().collect()}
+    assert 200 < got["a"] < 900 and got["b"] == 200
+    assert bounded_sample(rows.limit(0), 5).count() == bounded_sample(rows.limit(0), 5, by="by").count() == 0
 
 
 def test_bundles_do_not_depend_on_their_batch():
@@ -90,6 +153,34 @@ def test_quality_rules(spark):
     assert quality.score(_docs(spark, []), forest).count() == 0
 
 
+def test_quality_path_lengths():
+    """Each tree holds all rows here: leaves by a plain walk, and the anomaly that their depths and sizes give."""
+    rng = np.random.default_rng(4)
+    rows = np.round(rng.random((60, 3)) ** 3, 2)
+    forest = quality.Forest.grow(rows, trees=5, joint=6)
+
+    def mean_path(n):
+        return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
+
+    def leaf(root, row):
+        at, level = root, 0
+        while forest.inner[at]:
+            at, level = forest.child[at] + (1 if row[forest.rule[at]] > forest.split[at] else 0), level + 1
+        return int(at), level
+
+    got = forest.anomaly(rows)
+    assert [len(r) for r in forest.roots] == [6, 5, 5, 5]
+    for group, roots in enumerate(forest.roots):
+        lengths = np.zeros(len(rows))
+        for root in roots.tolist():
+            found = [leaf(root, row) for row in rows]
+            sizes = Counter(at for at, _ in found)
+            assert all(group == 0 or forest.rule[i] == group - 1 for i in range(root, max(sizes)) if forest.inner[i])
+            lengths += [level + mean_path(sizes[at]) for at, level in found]
+        assert np.allclose(got[:, group], 2 ** (-lengths / len(roots) / mean_path(60)))
+    assert len({int(forest.rule[i]) for r in forest.roots[0] for i in [r] if forest.inner[i]}) > 1
+
+
 def test_quality_forest_grows_on_the_natural_share(spark, monkeypatch):
     grown, grow = [], quality.Forest.grow
     monkeypatch.setattr(quality.Forest, "grow", staticmethod(lambda rows: grown.append(rows) or grow(rows)))
@@ -118,6 +209,41 @@ def test_toxicity(spark):
     assert toxicity.score(_docs(spark, []), classifier).count() == 0
 
 
+def _buckets(text):
+    """The buckets of a text's n-grams, one at a time."""
+    codes = [ord(c) if c.isalnum() else 32 for c in f" {text.lower()} "]
+    found, m = set(), (1 << 32) - 1
+    for start in range(len(codes)):
+        h = 0
+        for k, c in enumerate(codes[start : start + max(toxicity.SIZES)]):
+            h = (h ^ (c + k)) * 0x9E3779B1 & m
+            h ^= h >> 15
+            if k + 1 in toxicity.SIZES:
+                found.add((h * 0x85EBCA6B & m) >> (32 - toxicity.BUCKET_BITS))
+    return found
+
+
+def test_toxicity_counts_and_scores_as_a_plain_loop(spark):
+    rng = random.Random(6)
+    words = "ban dor lim sur tek vrak été".split()
+    rows = [(i, _sentence(rng, words[: 5 + 2 * (i % 3 == 0)], 12), None) for i in range(90)] + [(90, "", None), (91, "x", None)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(92)], "doc_id long, toxic int")
+    own = [(t, int(i % 3 == 0)) for i, t, _ in rows]
+    counted = toxicity._counted(spark.createDataFrame(own, "text string, label int").coalesce(1)).collect()
+    for label, name in ((1, "toxic"), (0, "other")):
+        expected = Counter(b for t, l in own if l == label for b in _buckets(t))
+        got = np.concatenate([np.frombuffer(r[name], np.int32) for r in sorted(counted, key=lambda r: r.block)])
+        assert {int(b): int(got[b]) for b in np.flatnonzero(got)} == expected
+    classifier = toxicity.learn(_docs(spark, rows), labels)
+    # The features tell the classes apart by the ratio of their smoothed rates.
+    n = Counter(l for _, l in own)
+    seen = [Counter(b for t, l in own if l == label for b in _buckets(t)) for label in (0, 1)]
+    assert all(seen[0][b] + seen[1][b] >= toxicity.LEAST_TEXTS for b in np.flatnonzero(classifier.feature >= 0).tolist())
+    for r in toxicity.score(_docs(spark, rows), classifier).collect():
+        total = classifier.intercept + sum(classifier.weight[f] for b in _buckets(rows[r.doc_id][1]) if (f := classifier.feature[b]) >= 0)
+        assert math.isclose(r.score, 1 / (1 + math.exp(-total)), rel_tol=1e-4, abs_tol=1e-6) and sum(n.values()) == 92
+
+
 def test_lm(spark):
     texts = [(1, "the cat sat The"), (2, "the dog"), (3, None), (4, "cat unseen"), (None, "the"), (1, "the cat sat The")]
     docs = _docs(spark, [(i, t, None) for i, t in texts])

@@ -33,6 +33,8 @@ SHINGLE_WORDS, PERCENT = 5, 80
 #: Signature coordinates; the chance that a pair just at the threshold shares no band may be MISS at most.
 COORDINATES, MISS = 320, 1e-5
 UNIVERSE_BITS = 20
+#: Buckets of the table of shingle frequencies, as a power of two: at least, and at most (64 MB).
+LEAST_BITS, MOST_BITS = 20, 24
 _SHINGLES, _BLOCK = 4096, 1 << 14
 
 _tables: list[tuple[np.ndarray, np.ndarray]] = []
@@ -132,25 +134,28 @@ def _linked(pairs: DataFrame, n: int, sets: DataFrame, percent: int) -> DataFram
 
 
 def _frequencies(rest: DataFrame) -> np.ndarray:
-    """For each hash bucket of shingles how many the sets have: a table of a fixed size."""
+    """For each hash bucket of shingles how many the sets have; as many buckets as shingles, within bounds."""
+    shingles = rest.agg(F.coalesce(F.sum(F.size("own")), F.lit(0))).first()[0]
+    bits = min(MOST_BITS, max(LEAST_BITS, int(shingles).bit_length()))
 
     def run(batches):
-        counts = np.zeros(1 << UNIVERSE_BITS, np.int32)
+        counts = np.zeros(1 << bits, np.int32)
         for batch in batches:
-            shingles = batch.column("own").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            counts += np.bincount((shingles >> np.uint64(64 - UNIVERSE_BITS)).astype(np.int64), minlength=len(counts)).astype(np.int32)
-        blocks = [b for b in range(0, len(counts), _BLOCK) if counts[b : b + _BLOCK].any()]
-        if blocks:
-            yield pa.RecordBatch.from_pydict({"block": pa.array(blocks, pa.int64()), "counts": [counts[b : b + _BLOCK].tobytes() for b in blocks]})
+            own = batch.column("own").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            at, n = np.unique(own >> np.uint64(64 - bits), return_counts=True)
+            counts[at.astype(np.int64)] += n.astype(np.int32)
+        for b in range(0, len(counts), _BLOCK):
+            if counts[b : b + _BLOCK].any():
+                yield pa.RecordBatch.from_pydict({"block": pa.array([b], pa.int64()), "counts": [counts[b : b + _BLOCK].tobytes()]})
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
         sums = np.sum([np.frombuffer(x, np.int32) for x in pdf.counts], axis=0, dtype=np.int64)
-        return pd.DataFrame({"block": [int(pdf.block.iloc[0])], "counts": [sums.tobytes()]})
+        return pd.DataFrame({"block": [int(pdf.block.iloc[0])], "counts": [np.minimum(sums, 2**31 - 1).astype(np.int32).tobytes()]})
 
     parts = rest.select("own").mapInArrow(run, "block long, counts binary").groupBy("block").applyInPandas(total, "block long, counts binary")
-    out = np.zeros(1 << UNIVERSE_BITS, np.int64)
+    out = np.zeros(1 << bits, np.int32)
     for r in parts.collect():
-        out[r.block : r.block + _BLOCK] = np.frombuffer(r.counts, np.int64)
+        out[r.block : r.block + _BLOCK] = np.frombuffer(r.counts, np.int32)
     return out
 
 
@@ -160,17 +165,19 @@ def _across(rest: DataFrame, percent: int) -> DataFrame:
     Of two sets that are, the first shingles in any order of all shingles overlap: a set of n needs
     n - ceil(percent * n) + 1 of them, and what follows the first common one must suffice for the overlap.
     Rare shingles come first, so a text whose own edits exceed what the similarity allows meets nothing.
-    Rows of a shingle's most frequent label are not paired with each other."""
+    Rows of a shingle's most frequent label are not paired with each other, and the other rows of a shingle that many
+    texts begin with are dealt to several tasks (join_hot)."""
     shipped = rest.sparkSession.sparkContext.broadcast(_frequencies(rest))
     kinds = [f"{c} {rest.schema[c].dataType.simpleString()}" for c in ("doc", "label")]
 
     def run(batches):
         often = shipped.value
+        shift = np.uint64(65 - len(often).bit_length())
         for batch in batches:
             tokens, sizes, places, rows = [], [], [], []
             for i, own in enumerate(batch.column("own")):
                 shingles = own.values.to_numpy(zero_copy_only=False)
-                order = np.lexsort((shingles, often[(shingles.view(np.uint64) >> np.uint64(64 - UNIVERSE_BITS)).astype(np.int64)]))
+                order = np.lexsort((shingles, often[(shingles.view(np.uint64) >> shift).astype(np.int64)]))
                 first = order[: len(order) + percent * len(order) // -100 + 1]
                 tokens.append(shingles[first])
                 places.append(np.arange(len(first), dtype=np.int32))
@@ -182,13 +189,16 @@ def _across(rest: DataFrame, percent: int) -> DataFrame:
 
     starts = written(rest.mapInArrow(run, f"token long, n int, at int, {', '.join(kinds)}"), "starts")
     counted = starts.groupBy("token", "label").count()
-    modes = counted.groupBy("token").agg(F.max_by("label", F.struct("count", "label")).alias("mode"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
-    right = starts.join(modes, "token")
+    modes = counted.groupBy("token").agg(F.max_by("label", F.struct("count", "label")).alias("mode"), (F.sum("count") - F.max("count")).alias("others"))
+    modes = written(modes.where("others > 0"), "modes")
+    right = starts.join(modes.drop("others"), "token")
     left = right.where("label <> mode")
-    right = right.select("token", *[F.col(c).alias(f"{c}2") for c in ("n", "at", "doc", "label")])
+    right = right.select("token", "mode", *[F.col(c).alias(f"{c}2") for c in ("n", "at", "doc", "label")])
     apart = (F.col("label") != F.col("label2")) & ((F.col("label2") == F.col("mode")) | (F.col("doc") < F.col("doc2")))
     enough = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) * (100 + percent) >= percent * (F.col("n") + F.col("n2"))
-    return left.join(right, "token").where(apart & enough).select(F.least("doc", "doc2").alias("u"), F.greatest("doc", "doc2").alias("v"))
+    total = modes.agg(F.coalesce(F.sum("others"), F.lit(0))).first()[0]
+    met = join_hot(left.drop("mode"), right, "token", total, counts=modes.select("token", F.col("others").alias("count")))
+    return met.where(apart & enough).select(F.least("doc", "doc2").alias("u"), F.greatest("doc", "doc2").alias("v"))
 
 
 def groups(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -233,10 +243,11 @@ def groups(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT, id_c
 
 
 def first_of_each(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows, with all columns, that are the first of their group; one row of an id that repeats."""
+    """The rows, with all columns, that are the first of their group. Of rows with the same id, which are one document to
+    groups(), one of each different text stays."""
     found = written(groups(docs, k, percent, id_col, text_col), "groups")
     gone = found.where(~F.col("kept")).select(id_col).distinct()
     left = by_ids(docs, gone, gone.count(), "left_anti")
     if found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").limit(1).count():
-        left = left.where(F.col(id_col).isNull()).unionByName(left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]))
+        left = left.where(F.col(id_col).isNull()).unionByName(left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, text_col]))
     return left.select(*docs.columns)

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import chat, decontaminate, html_extract, language_id, lm, near_dedup, quality, spm, toxicity, warc
 from textloom.llm.common import fold, written
 
-#: Where the public tokenizers lie, unless spark.textloom.tokenizers names another folder.
-TOKENIZERS = "/opt/tokenizers"
+#: The tokenizer's file among the public ones, unless spark.textloom.tokenizers names another folder.
 TOKENIZER_FILE = "piece_bpe_32k.model"
 
 
@@ -21,8 +21,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def tokenizer_model(spark: SparkSession) -> bytes:
     """The model file's content, read on the driver."""
-    folder = spark.conf.get("spark.textloom.tokenizers", TOKENIZERS)
-    with open(f"{folder}/{TOKENIZER_FILE}", "rb") as f:
+    folder = spark.conf.get("spark.textloom.tokenizers", None)
+    path = f"{folder}/{TOKENIZER_FILE}" if folder else public_tokenizers.path(TOKENIZER_FILE)
+    with open(path, "rb") as f:
         return f.read()
 
 
@@ -142,6 +143,26 @@ FROM c GROUP BY conv_id
 """
 
 
+#: Equal sets are one node; pairs of the others that share a shingle are counted, and chains of links followed.
+OP8_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), s AS (
+  SELECT doc_id, list_sort(CASE WHEN len(words) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2])) END) AS own FROM w
+), g AS (SELECT own, min(doc_id) AS rep FROM s WHERE len(own) > 0 GROUP BY own),
+t AS (SELECT rep, len(own) AS n, unnest(own) AS shingle FROM g),
+p AS (SELECT a.rep AS a, b.rep AS b, a.n AS na, b.n AS nb, count(*) AS same FROM t a JOIN t b ON a.shingle = b.shingle AND a.rep < b.rep GROUP BY ALL),
+l AS (SELECT a, b FROM p WHERE 100 * same >= 85 * (na + nb - same)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(node, far) AS (SELECT rep, rep FROM g UNION SELECT node, b FROM r JOIN e ON far = a),
+c AS (SELECT node, min(far) AS component FROM r GROUP BY node)
+SELECT doc_id, CAST(len(s.own) AS BIGINT) AS n_shingles, coalesce(component, doc_id) AS component_id, coalesce(component, doc_id) = doc_id AS kept
+FROM s LEFT JOIN g ON s.own = g.own LEFT JOIN c ON c.node = g.rep
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -158,4 +179,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op4_chat": OP4_SQL}
+    return {"op3_warc": OP3_SQL, "op4_chat": OP4_SQL, "op8_near_dedup": OP8_SQL}
