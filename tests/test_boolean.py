@@ -66,3 +66,20 @@ def test_evaluators_agree(tables, query):
 def test_display(tables):
     rows = search.display(search.search(*tables, "NOT zzz"), tables[1], 5).orderBy("doc_id").collect()
     assert [(r.doc_id, r.snippet) for r in rows] == [(1, "text"), (2, "text"), (3, "text"), (4, "text"), (5, "")]
+
+
+@pytest.mark.parametrize("query", ["NOT " * 2001 + "aaa", "(" * 2000 + "aaa" + ")" * 2000, " AND ".join(["aaa"] * 5001), " OR ".join(["NOT aaa"] * 3000), "NOT (" * 1000 + "aaa" + ")" * 1000])
+def test_long_and_deep_queries(query):
+    ids = B.evaluate(B.parse(query), lambda t: {1, 2, 3}, set.intersection, set.union, lambda a: {1, 2, 3, 4, 5} - a)
+    assert ids == ({4, 5} if query.startswith("NOT NOT") or " OR " in query else {1, 2, 3})
+    assert len(B.postfix(B.parse(query))) >= 1 and list(B.terms(B.parse(query))) == ["aaa"]
+
+
+def test_queries_of_many_terms(tables):
+    more = " OR ".join(f"x{i:04}" for i in range(1000))
+    assert {r.doc_id for r in search.search(*tables, f"(aaa AND bbb) OR {more}").collect()} == {2, 3}
+    assert {r.doc_id for r in search.search_texts(tables[1].select("doc_id", "clean_text"), f"text OR {more}").collect()} == {1, 2, 3, 4}
+
+
+def test_display_is_in_order(tables):
+    assert [r.doc_id for r in search.display(search.search(*tables, "NOT zzz"), tables[1], 4).collect()] == [1, 2, 3, 4]

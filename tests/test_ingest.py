@@ -24,6 +24,57 @@ def test_upsert_keeps_what_new_rows_lack_and_repeats(spark):
     assert unique_by(once, "url_norm").isEmpty()
 
 
+def test_upsert_applies_rows_in_turn(spark):
+    """A page is stored and then said to be unchanged in one batch; another only ever was unchanged."""
+    old = spark.createDataFrame([_page("a", "old", 1, "e1")], PAGE)
+    touch = lambda key, at: (key, key, None, None, at, None, None, None)
+    new = spark.createDataFrame([_page("a", "X", 2), touch("a", 3), touch("b", 3), _page("c", "Y", 5, "e2"), _page("c", "Z", 4, "e0"), touch("c", 6)], PAGE)
+    rows = {r.url_norm: (r.html, r.fetched_at_unix, r.etag) for r in ingest.upsert(old, new).collect()}
+    assert rows == {"a": ("X", 3, "e1"), "c": ("Y", 6, "e2")}
+    assert ingest.upsert(old, new.limit(0)).collect() == old.collect() and ingest.upsert(old.limit(0), new.limit(0)).count() == 0
+
+
+def test_page_store_merges_batches(spark, tmp_path):
+    touch = ("a", "a", None, None, 9, None, None, None)
+    for n, row in enumerate([_page("a", "1", 1, "e"), _page("a", "2", 2), touch, _page("b", "x", 4), ("z", "z", None, None, 3, None, None, None)]):
+        spark.createDataFrame([row], PAGE).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        page_stream(spark.readStream.schema(PAGE).parquet(f"{tmp_path}/in"), f"{tmp_path}/store", f"{tmp_path}/check", compact_every=2).awaitTermination()
+        assert n == 0 or (tmp_path / "store" / "base=1").exists()
+    assert sorted((r.url_norm, r.html, r.etag, r.fetched_at_unix) for r in snapshot(spark, f"{tmp_path}/store").collect()) == [("a", "2", "e", 9), ("b", "x", None, 4)]
+    assert snapshot(spark, f"{tmp_path}/nothing") is None
+
+
+def test_seeds_are_capped(spark):
+    rows = spark.createDataFrame([(i, f"u{i}") for i in range(9)], "page_id long, url string")
+    assert [r.page_id for r in ingest.capped_seeds(rows, 3, ["page_id"]).collect()] == [0, 1, 2]
+
+
+def test_wide_lines_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "IDS_OF_A_LINE", 10)
+    docs = spark.createDataFrame([(i, "the cat" if i % 2 else "the") for i in range(35)], "doc_id long, clean_text string")
+    post = index.postings(docs)
+    wide = files.wide_postings(post).collect()
+    assert sorted((r.term, r.df, r.docs.count("|") + 1) for r in wide) == [("cat", 17, 2)] + [("cat", 17, 5)] * 3 + [("the", 35, 5)] + [("the", 35, 10)] * 3
+    files.write_postings(post, f"{tmp_path}/p")
+    assert {tuple(r) for r in files.read_postings(spark, f"{tmp_path}/p").collect()} == {tuple(r) for r in post.collect()}
+    files.write_universe(docs, f"{tmp_path}/u")
+    assert files.read_universe(spark, f"{tmp_path}/u").count() == 35
+
+
+def test_terms_without_an_index(spark):
+    docs = spark.createDataFrame([(1, "История истории мир"), (2, "the CAT, the исторический"), (3, None), (4, "cats")], "doc_id long, clean_text string")
+    for terms in (["истор"], ["cat", "the"], ["истор", "мир", "cat"], []):
+        expected = {tuple(r) for r in index.postings(docs).collect() if r.term in terms}
+        assert {tuple(r) for r in index.postings_of(docs, terms).collect()} == expected
+
+
+def test_frequencies_in_one_scan(spark):
+    docs = spark.createDataFrame([(i, f"the word{i % 3} мир миры the" if i % 2 else None) for i in range(30)], "doc_id long, clean_text string")
+    both = {r.term: (r.freq, r.df) for r in index.frequencies(docs).collect()}
+    df = {r.term: r.df for r in index.document_frequencies(index.postings(docs)).collect()}
+    assert both == {r.term: (r.freq, df[r.term]) for r in index.term_frequencies(docs).collect()}
+
+
 def test_due_and_unchanged(spark):
     existing = spark.createDataFrame([("https://ex.com/a", "e", None, "h", 100), ("https://ex.com/b", None, "m", None, None)], "url_norm string, etag string, last_modified string, content_hash string, fetched_at_unix bigint")
     sources = spark.createDataFrame([("s", ["ex.com"])], "source string, allowed_domains array<string>")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from textloom.operators import profile
 from textloom.sources.config import Http
 from textloom.sources.files import new_files
-from textloom.streaming.crawl import retries
+from textloom.streaming.crawl import host_waits, retries
 from textloom.streaming.index_stream import source_counts
 
 
@@ -21,6 +21,12 @@ def test_retries_keep_state_over_batches(spark, tmp_path):
     assert got == [("u", 1, False), ("u", 2, False), ("u", 3, False), ("u", 4, True), ("v", 1, False)]
 
 
+def test_waits_of_hosts(spark):
+    schema = "host string, url_norm string, status int, retry_after double, at double"
+    rows = spark.createDataFrame([("h", f"u{i}", 429, 5.0, float(i)) for i in range(2000)] + [("h", "x", 200, 99.0, 9999.0), ("g", "v", 429, None, 1.0)], schema)
+    assert {r.host: r.until for r in host_waits(rows).collect()} == {"h": 2004.0, "g": 16.0}
+
+
 def test_counts_by_window(spark, tmp_path):
     rows = [(datetime.datetime(2024, 1, 1, 10, m), "s") for m in (1, 2, 59)] + [(datetime.datetime(2024, 1, 1, 13, 0), "s")]
     spark.createDataFrame(rows, "ts timestamp, source_name string").coalesce(1).write.parquet(f"{tmp_path}/in")
@@ -39,6 +45,10 @@ def test_profiles(spark, tmp_path):
     assert profile.sample(rows, ["nothing", "id"], 1).columns == ["id"] and profile.sample(rows, ["nothing"], 1).columns == rows.columns
     rows.createOrReplaceTempView("profiled")
     assert [(r.column, r.position) for r in profile.describe_tables(spark, ["profiled"]).orderBy("position").collect()] == [("id", 0), ("html", 1), ("source_name", 2)]
+    rows.write.mode("overwrite").parquet(f"{tmp_path}/t")
+    spark.read.parquet(f"{tmp_path}/t").createOrReplaceTempView("sized")
+    (size,) = profile.table_sizes(spark, ["sized"]).collect()
+    assert size.table == "sized" and size.bytes > 100
     with pytest.raises(ValueError):
         profile.describe_tables(spark, [], ["absent_table"])
 

@@ -2,7 +2,8 @@ import pytest
 
 from textloom.cli import answer
 from textloom.operators import ingest
-from textloom.plans.steps import StepFailed, exit_code, run_steps
+from textloom.plans.steps import SomeFailed, StepFailed, bootstrap_steps, exit_code, run_all, run_steps
+from textloom.sources.config import Bootstrap
 
 
 def test_steps():
@@ -13,6 +14,20 @@ def test_steps():
     assert [exit_code(f) for f in (lambda: 0, lambda: run_steps([("x", lambda: 1 / 0)]), lambda: 1 / 0)] == [0, 2, 3]
 
 
+def test_all_steps_run_and_say_how_they_ended():
+    ran = []
+    with pytest.raises(SomeFailed, match="1 of 3 failed: page: no file") as e:
+        run_all([("page", lambda: (_ for _ in ()).throw(OSError("no file"))), ("links", lambda: ran.append(1)), ("targets", lambda: ran.append(2))])
+    assert ran == [1, 2] and e.value.statuses == {"page": "failed: no file", "links": "imported", "targets": "imported"}
+    assert run_all([("page", lambda: 1)]) == {"page": "imported"}
+    assert exit_code(lambda: run_all([("x", lambda: 1 / 0)])) == 2
+
+
+def test_toggles():
+    out = bootstrap_steps(Bootstrap(download_dumps=False, export_seeds=False), lambda: 1, lambda: 2, lambda: 3)
+    assert out == {"import": 2}
+
+
 def test_pace(spark, monkeypatch):
     monkeypatch.setattr(ingest, "ROWS_PER_SHARE", 10)
     rows = spark.createDataFrame([("big", f"u{i}") for i in range(100)] + [("small", "v")], "host string, url_norm string")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.url import page_url, title_key
+from textloom.sources.scratch import written
 
 #: The namespaces of pages and of categories.
 MAIN, CATEGORY = 0, 14
@@ -28,33 +29,21 @@ def member_edges(links: DataFrame, targets: DataFrame, pages: DataFrame) -> tupl
 def reachable(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
     """(id, depth) of all nodes at most max_depth steps from the roots (a column id), at their least depth.
 
-    Each step joins the frontier with the edges and takes what is new; the visited set is written at each step
-    (checkpoint), so its lineage stays short."""
-    spark = edges.sparkSession
-    visited = roots.select("id", F.lit(0).alias("depth")).distinct()
-    frontier = visited
+    Each step joins the frontier with the edges and takes what is new; each level is written once, so the lineage
+    stays short and nothing is written again."""
+    visited = frontier = written(roots.select("id", F.lit(0).alias("depth")).distinct(), "level")
     for depth in range(1, max_depth + 1):
         found = frontier.join(edges, F.col("id") == F.col("parent")).select(F.col("child").alias("id")).distinct()
-        frontier = cut(found.join(visited.select("id"), "id", "left_anti").select("id", F.lit(depth).alias("depth")), spark)
+        frontier = written(found.join(visited.select("id"), "id", "left_anti").select("id", F.lit(depth).alias("depth")), "level")
         if frontier.isEmpty():
             break
-        visited = cut(visited.unionByName(frontier), spark)
+        visited = visited.unionByName(frontier)
     return visited
 
 
-def cut(df: DataFrame, spark) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint in the folder that spark.checkpoint.dir names."""
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="textloom-"))
-    return df.checkpoint()
-
-
-def seeds(categories: DataFrame, members: DataFrame, pages: DataFrame, domain: str, source: str, limit: int, main_only: bool = True, no_redirects: bool = True) -> DataFrame:
+def seeds(categories: DataFrame, members: DataFrame, pages: DataFrame, domain: str, source: str, limit: int | None = None, main_only: bool = True, no_redirects: bool = True) -> DataFrame:
     """(url, title, page_id, namespace, source, depth) of the pages in reachable categories, each at its least
-    depth, `limit` at most in order of depth and id. Without categories there are none."""
+    depth; with a limit the first in order of depth and id. Without categories there are none."""
     at = members.join(categories, F.col("parent") == F.col("id")).groupBy(F.col("child").alias("page_id")).agg(F.min("depth").alias("depth"))
     own = at.join(pages, "page_id")
     if main_only:
@@ -63,7 +52,7 @@ def seeds(categories: DataFrame, members: DataFrame, pages: DataFrame, domain: s
         own = own.where(F.coalesce(F.col("page_is_redirect"), F.lit(0)) != 1)
     title = F.col("page_title").cast("string")
     out = own.select(page_url(F.lit(domain), title).alias("url"), title.alias("title"), "page_id", F.col("page_namespace").cast("int").alias("namespace"), F.lit(source).alias("source"), "depth")
-    return out.orderBy("depth", "page_id").limit(limit)
+    return out if limit is None else out.orderBy("depth", "page_id").limit(limit)
 
 
 @dataclass(frozen=True)

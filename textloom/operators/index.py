@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.text import folded, raw_tokens, stem
+from textloom.sources.scratch import written
 
 
 def token_rows(docs: DataFrame, text_col: str = "clean_text") -> DataFrame:
@@ -19,6 +20,18 @@ def postings(docs: DataFrame, text_col: str = "clean_text") -> DataFrame:
     return distinct.select(stem(folded(F.col("token"))).alias("term"), "doc_id").distinct()
 
 
+def postings_of(docs: DataFrame, terms: list[str], text_col: str = "clean_text") -> DataFrame:
+    """postings() of some terms alone, without an index: a stem is the beginning of its token (and the token itself if
+    that begins with an ASCII character), so other tokens go before anything is stemmed or shuffled."""
+    token = F.col("token")
+    plain, stems = [t for t in terms if t < "\x80"], [t for t in terms if t >= "\x80"]
+    may = token.isin(plain) if plain else F.lit(False)
+    for t in stems:
+        may = may | token.startswith(t)
+    rows = docs.select("doc_id", F.explode(raw_tokens(F.col(text_col))).alias("token")).select("doc_id", folded(token).alias("token")).where(may)
+    return rows.select(stem(token).alias("term"), "doc_id").where(F.col("term").isin(terms)).distinct()
+
+
 def term_frequencies(docs: DataFrame, text_col: str = "clean_text") -> DataFrame:
     """(term, freq). Tokens are counted first (with partial counts before the shuffle), so stems are worked
     out once for each distinct token."""
@@ -49,7 +62,15 @@ def ranked(frequencies: DataFrame) -> DataFrame:
     return own.withColumn("_place", place).join(starts, ["freq", "_slot"]).withColumn("rank", F.col("_start") + F.col("_place")).drop("_slot", "_place", "_start")
 
 
+def frequencies(docs: DataFrame, text_col: str = "clean_text") -> DataFrame:
+    """(term, freq, df) in one scan: texts are dealt by id, so that a document's tokens, and the terms made of them,
+    are counted where they are, and only counts by term are shuffled again."""
+    dealt = docs.select("doc_id", F.col(text_col).alias("_text")).repartition("doc_id")
+    counted = token_rows(dealt, "_text").groupBy("doc_id", "token").agg(F.count("*").alias("n"))
+    terms = counted.groupBy("doc_id", stem(F.col("token")).alias("term")).agg(F.sum("n").alias("n"))
+    return terms.groupBy("term").agg(F.sum("n").alias("freq"), F.count("*").alias("df"))
+
+
 def lexicon(docs: DataFrame, text_col: str = "clean_text") -> DataFrame:
-    """(rank, term, freq, df)."""
-    both = term_frequencies(docs, text_col).join(document_frequencies(postings(docs, text_col)), "term")
-    return ranked(both).select(F.col("rank").cast("long"), "term", "freq", "df")
+    """(rank, term, freq, df). The counts are written once, since ranking reads them more than once."""
+    return ranked(written(frequencies(docs, text_col), "frequencies")).select(F.col("rank").cast("long"), "term", "freq", "df")

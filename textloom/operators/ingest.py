@@ -103,20 +103,30 @@ def pages_of(routed: DataFrame) -> DataFrame:
 
 
 def newest(rows: DataFrame, key: str, time_col: str) -> DataFrame:
-    """One row for each key, the latest; ties by the row's values. A partial aggregate, so hot keys do not meet whole."""
-    others = [c for c in rows.columns if c not in (key, time_col)]
-    best = F.max(F.struct(time_col, *others)).alias("_row")
-    return rows.groupBy(key).agg(best).select(key, *[F.col(f"_row.{c}").alias(c) for c in rows.columns if c != key]).select(*rows.columns)
+    """One row for each key: of each column the last value that is not null, as if the rows were applied one after the
+    other; values of one time in an order that a hash gives. A partial aggregate, so hot keys do not meet whole."""
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(F.col(time_col), F.xxhash64(c))))
+    values = [F.max(c).alias(c) if c == time_col else last(c).alias(c) for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(*values).select(*rows.columns)
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str = "url_norm", time_col: str = "fetched_at_unix") -> DataFrame:
-    """The next snapshot: new rows replace old ones of their key, value by value where they have one, so a
-    value that a new row lacks survives. Of several new rows of a key the latest counts. Applying the same rows
-    twice changes nothing more."""
+def upsert(old: DataFrame, new: DataFrame, key: str = "url_norm", time_col: str = "fetched_at_unix", bare: tuple[str, ...] = ("url",)) -> DataFrame:
+    """The next snapshot: new rows, in the order of their times, replace old ones of their key, value by value where they
+    have one, so a value that a new row lacks survives. Rows without values (but the key, the time and those that
+    `bare` names) touch a key that is there and make no new one. Applying the same rows twice changes nothing more."""
     fresh = newest(new, key, time_col)
     l, r = old.alias("o"), fresh.alias("n")
     merged = l.join(r, F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer")
-    return merged.select(*[F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c) for c in old.columns])
+    there = F.col(f"o.{key}").isNotNull()
+    for c in old.columns:
+        if c not in (key, time_col, *bare):
+            there = there | F.col(f"n.{c}").isNotNull()
+    return merged.where(there).select(*[F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c) for c in old.columns])
+
+
+def capped_seeds(seeds: DataFrame, most: int, order: list[str]) -> DataFrame:
+    """The first `most` seeds in an order (max_unique_docs of the configuration)."""
+    return seeds.orderBy(*order).limit(most)
 
 
 def counters(routed: DataFrame, source_col: str = "source_name") -> DataFrame:

@@ -45,6 +45,17 @@ def describe_tables(spark, names: list[str], required: list[str] | None = None)
     return spark.createDataFrame(rows, "table string, column string, type string, position int")
 
 
+def table_sizes(spark, names: list[str]) -> DataFrame:
+    """(table, rows, bytes) as the optimiser estimates them, without reading the tables; rows is null where no statistics
+    say (ANALYZE TABLE makes them)."""
+    found = []
+    for n in names:
+        stats = spark.table(n)._jdf.queryExecution().optimizedPlan().stats()
+        rows = stats.rowCount()
+        found.append((n, int(str(rows.get())) if rows.isDefined() else None, int(str(stats.sizeInBytes()))))
+    return spark.createDataFrame(found, "table string, rows long, bytes long")
+
+
 def sample(rows: DataFrame, preferred: list[str], n: int = 5) -> DataFrame:
     """n rows with the preferred columns that exist, else the first six."""
     own = [c for c in preferred if c in rows.columns] or rows.columns[:6]

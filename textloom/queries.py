@@ -5,6 +5,7 @@ The SQL is written from what the operators mean, not from their plans.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +13,10 @@ from pyspark.sql import functions as F
 
 from textloom.functions import html, text, url
 from textloom.operators import clean, graph, index, ingest, profile, search, zipf
+from textloom.plans.boolean import parse, terms
 from textloom.sources import files
 from textloom.sources.config import Config, Http, Recrawl, Source
+from textloom.sources.scratch import shared_dir, written
 from textloom.sources.tables import clean_docs, table, universe
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,8 +57,9 @@ BOOLEAN_SQL = {
 def _boolean(name: str, by_sets: bool = False) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = clean_docs(spark, sf_dir)
-        how = search.search_by_sets if by_sets else search.search
-        return how(index.postings(docs), docs, BOOLEAN[name]).select("doc_id")
+        if by_sets:
+            return search.search_by_sets(index.postings_of(docs, list(terms(parse(BOOLEAN[name])))), docs, BOOLEAN[name]).select("doc_id")
+        return search.search_texts(docs, BOOLEAN[name])
 
     return run
 
@@ -70,7 +74,53 @@ def _on(name: str, of: Callable[[DataFrame], DataFrame]) -> Query:
 
 def search_top5(spark: SparkSession, sf_dir: str, n: int = 5) -> DataFrame:
     docs = clean_docs(spark, sf_dir)
-    return search.display(search.search(index.postings(docs), docs, FLAGSHIP), docs, n)
+    return search.display(search.search_texts(docs, FLAGSHIP), docs, n)
+
+
+def _search_many(docs: DataFrame) -> DataFrame:
+    wanted = dict.fromkeys(t for q in BOOLEAN.values() for t in terms(parse(q)))
+    return search.search_many(index.postings_of(docs, list(wanted)), docs, BOOLEAN)
+
+
+#: Russian words and their stems, worked out by hand.
+RUSSIAN = dict(zip("мир читавшись занимались искусство история истории елка Ёлка красивейшими длинный возможность скорость".split(), "мир чита занима искусств истор истор елк елк красив длин возможн скорост".split(), strict=True))
+
+
+def _russian(docs: DataFrame) -> DataFrame:
+    """Texts of Russian words, which ones and how often by the document's id, joined to the document's own."""
+    words, n = F.array(*map(F.lit, RUSSIAN)), len(RUSSIAN)
+    said = [F.element_at(words, (F.col("doc_id") * k % n + 1).cast("int")) for k in (1, 5, 7)]
+    return docs.select("doc_id", "source_name", F.concat_ws(", ", *said, F.upper(said[0]), F.substring("clean_text", 1, 200)).alias("clean_text"))
+
+
+#: Pages whose text was worked out by hand: what goes, footnotes, sections that end an article, a wiki's title and body.
+WIKI = [
+    ("drop", "<body><nav>x</nav>a<!--c-->b<script>y</script></body>", "", "a b"),
+    ("footnote", "<body>text [ 12 ] more</body>", "", "text more"),
+    ("section", "<body><p>a</p><h2>Ссылки</h2><p>b</p>tail</body>", "", "a tail"),
+    ("title", "<body><h1> A&nbsp; B </h1>c</body>", "A B", "A B c"),
+    ("wiki", "<title>T</title><body><div id=mw-content-text>x<div class=mw-parser-output>in<sup class=reference>1</sup><div id=toc>t</div></div></div></body>", "T", "in"),
+    ("heading", "<body><h1 id=firstHeading>F</h1><div id=mw-content-text><table class=navbox><tr><td>n</td></tr></table>t<h2>См. также</h2><ul><li>u</li></ul></div></body>", "F", "t"),
+]
+
+
+def _wiki(spark: SparkSession, _: str) -> DataFrame:
+    raw = spark.createDataFrame([(n, h) for n, h, _, _ in WIKI], "url_norm string, html string")
+    return clean.cleaned(raw).select(F.col("url_norm").alias("name"), "title", "clean_text")
+
+
+def _exported_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two walks, divided by quota in an order that a seed decides, written as a list of seeds and read again: how many
+    seeds of each source."""
+    path = f"{shared_dir(spark)}/textloom/{spark.sparkContext.applicationId}/seeds-{uuid.uuid4().hex}"
+    edges, members, pages = _tree(spark, sf_dir)
+    walks = [graph.seeds(graph.reachable(edges, spark.createDataFrame([(k + 1000,)], "id long"), 1), members, pages, "example.org", f"r{k}") for k in (0, 1)]
+    files.write_seeds(graph.divided(*walks, 20, 50, shuffle_seed=42), path)
+    return files.read_seeds(spark, path).groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("url").alias("urls"))
+
+
+def _capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.capped_seeds(table(spark, sf_dir, "pages").select("page_id", "url"), 100, ["page_id"])
 
 
 def _stems(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +135,7 @@ def _configuration() -> Config:
 #: fetched page is as it was, and statuses go round.
 def _existing(pages: DataFrame) -> DataFrame:
     known = pages.where("page_id % 2 = 0")
-    return known.select(
+    rows = known.select(
         url.normalize_url(F.col("url")).alias("url_norm"),
         F.concat(F.lit("e"), "page_id").alias("etag"),
         F.lit(None).cast("string").alias("last_modified"),
@@ -93,17 +143,11 @@ def _existing(pages: DataFrame) -> DataFrame:
         (F.lit(NOW) - F.col("page_id") % 10 * 100_000).alias("fetched_at_unix"),
         "html",
     )
-
-
-def _one_for_each_url(pages: DataFrame) -> DataFrame:
-    """Pages with different normalised URLs: of equal ones the least id."""
-    norm = pages.withColumn("url_norm", url.normalize_url(F.col("url")))
-    first = norm.groupBy("url_norm").agg(F.min("page_id").alias("page_id"))
-    return pages.join(first.select("page_id"), "page_id", "left_semi")
+    return ingest.newest(rows, "url_norm", "fetched_at_unix")
 
 
 def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _one_for_each_url(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
     config = _configuration()
     source = F.when(F.col("page_id") % 5 == 0, "nowhere").when(F.col("url").contains("example.org"), "org").otherwise("example")
     seeds = pages.select("url", source.alias("source"))
@@ -119,23 +163,26 @@ def _results(pages: DataFrame) -> DataFrame:
         F.col("html").cast("binary").alias("body"),
         F.when(F.col("page_id") % 2 == 1, F.lit("new")).alias("etag"),
         F.lit(None).cast("string").alias("last_modified"),
-        F.lit(NOW).cast("long").alias("fetched_at_unix"),
+        (F.lit(NOW) + F.col("page_id") % 3).cast("long").alias("fetched_at_unix"),
         F.lit("example").alias("source_name"),
     )
 
 
 def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _one_for_each_url(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
     return ingest.route(_results(pages), _existing(pages), Recrawl())
 
 
 def _upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _one_for_each_url(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
     old = _existing(pages).select(
         F.col("url_norm").alias("url"), "url_norm", "html", F.lit("example").alias("source_name"), "fetched_at_unix", "etag", "last_modified", "content_hash"
     )
+    # All results twice, and for every fourth page an answer that came later in the same batch: not modified.
     new = ingest.pages_of(_routed(spark, sf_dir))
-    out = ingest.upsert(old, new.unionByName(new))
+    later = pages.where("page_id % 4 = 3").select(url.normalize_url(F.col("url")).alias("url_norm"), F.lit(304).alias("status"), F.lit(None).cast("binary").alias("body"), F.lit(None).cast("string").alias("etag"))
+    later = later.withColumns({"last_modified": F.lit(None).cast("string"), "fetched_at_unix": F.lit(NOW + 50).cast("long"), "source_name": F.lit("example")})
+    out = ingest.upsert(old, new.unionByName(new).unionByName(ingest.pages_of(ingest.route(later, _existing(pages), Recrawl()))))
     return out.select("url_norm", F.length("html").alias("n_chars"), "source_name", "fetched_at_unix", "etag", "content_hash")
 
 
@@ -159,7 +206,7 @@ def _tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
 def _walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges, members, pages = _tree(spark, sf_dir)
     roots = table(spark, sf_dir, "region").where("r_regionkey < 2").select((F.col("r_regionkey") + 1000).cast("long").alias("id"))
-    return graph.seeds(graph.reachable(edges, roots, 3), members, pages, "example.org", "tree", 1 << 30).drop("title", "namespace", "source")
+    return graph.seeds(graph.reachable(edges, roots, 3), members, pages, "example.org", "tree").drop("title", "namespace", "source")
 
 
 def _quota(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,10 +231,10 @@ def queries() -> dict[str, Query]:
         "postings_long": _on_docs(index.postings),
         "postings_wide": _on_docs(lambda d: files.wide_postings(index.postings(d))),
         "zipf_rank": _on_docs(index.lexicon),
-        "zipf_fit": _on_docs(lambda d: zipf.fit(index.ranked(index.term_frequencies(d))).select(F.round("s", 6).alias("s"), F.round("c", 2).alias("c"))),
-        "zipf_theory": _on_docs(lambda d: zipf.curves(index.ranked(index.term_frequencies(d))).select("rank", "freq", "theory", F.round("fitted", 3).alias("fitted"))),
+        "zipf_fit": _on_docs(lambda d: zipf.fit(index.ranked(written(index.term_frequencies(d), "frequencies"))).select(F.round("s", 6).alias("s"), F.round("c", 2).alias("c"))),
+        "zipf_theory": _on_docs(lambda d: zipf.curves(written(index.ranked(written(index.term_frequencies(d), "frequencies")), "ranked")).select("rank", "freq", "theory", F.round("fitted", 3).alias("fitted"))),
         "search_top5": search_top5,
-        "search_many": _on_docs(lambda d: search.search_many(index.postings(d), d, BOOLEAN)),
+        "search_many": _on_docs(_search_many),
         "sorted_set_arrays": lambda spark, _: spark.range(1).select(F.array(*map(F.lit, (3, 1, 2))).alias("a"), F.array(*map(F.lit, (2, 5, 4))).alias("b")).select(
             *[c.cast("string").alias(n) for n, c in search.sorted_sets(F.col("a"), F.col("b")).items()]
         ),
@@ -219,6 +266,11 @@ def queries() -> dict[str, Query]:
         "retry_queue": lambda s, d: ingest.next_attempts(_routed(s, d).withColumns({"retry_after": F.lit("30"), "attempts": F.lit(0)}), Http(), NOW).select("url_norm", "attempts", "dead", F.floor("next_attempt_at").alias("at")),
         "upsert_snapshot": _upserted,
         "category_bfs": _walk,
+        "stem_table": _on_docs(lambda d: index.lexicon(_russian(d)).where(F.col("term") >= "\x80").select("term", "freq", "df")),
+        "bool_russian": _on_docs(lambda d: search.search_texts(_russian(d), "(история OR Ёлка) AND NOT миры")),
+        "html_clean_wiki": _wiki,
+        "seed_export": _exported_seeds,
+        "seed_cap": _capped,
         "seed_quota": _quota,
     }
     for name in BOOLEAN:
@@ -233,10 +285,11 @@ _NORM = (
     "CASE WHEN regexp_extract(url, '^[^?#]*\\?([^#]*)', 1) <> '' THEN '?' || regexp_extract(url, '^[^?#]*\\?([^#]*)', 1) ELSE '' END"
 )
 _HOST = "regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), ':.*$', '')"
-_PAGES = f"WITH p AS (SELECT *, {_NORM} AS url_norm, {_HOST} AS host FROM pages), u AS (SELECT * FROM p WHERE page_id IN (SELECT min(page_id) FROM p GROUP BY url_norm))"
-_OLD = f"""o AS (SELECT url_norm, 'e' || page_id AS etag, CASE WHEN page_id % 3 = 0 THEN sha256(html) ELSE 'old' END AS content_hash,
-  {NOW} - page_id % 10 * 100000 AS fetched_at_unix, html FROM u WHERE page_id % 2 = 0)"""
-_ROUTED = f"""{_PAGES}, {_OLD}, s AS (SELECT url_norm, html, CASE page_id % 7 WHEN 0 THEN 429 WHEN 1 THEN 304 WHEN 2 THEN 500 ELSE 200 END AS status,
+_PAGES = f"WITH u AS (SELECT *, {_NORM} AS url_norm, {_HOST} AS host FROM pages)"
+_OLD = f"""k AS (SELECT url_norm, 'e' || page_id AS etag, CASE WHEN page_id % 3 = 0 THEN sha256(html) ELSE 'old' END AS content_hash,
+  {NOW} - page_id % 10 * 100000 AS seen_at, html FROM u WHERE page_id % 2 = 0),
+o AS (SELECT url_norm, arg_max(etag, seen_at) AS etag, arg_max(content_hash, seen_at) AS content_hash, max(seen_at) AS fetched_at_unix, arg_max(html, seen_at) AS html FROM k GROUP BY url_norm)"""
+_ROUTED = f"""{_PAGES}, {_OLD}, s AS (SELECT page_id, {NOW} + page_id % 3 AS seen_at, url_norm, html, CASE page_id % 7 WHEN 0 THEN 429 WHEN 1 THEN 304 WHEN 2 THEN 500 ELSE 200 END AS status,
   CASE WHEN page_id % 2 = 1 THEN 'new' END AS etag, sha256(html) AS content_hash FROM u),
 r AS (SELECT s.*, CASE WHEN status = 429 THEN 'retry' WHEN status = 304 THEN 'unchanged' WHEN status <> 200 THEN 'failed'
   WHEN o.content_hash = s.content_hash THEN 'unchanged' ELSE 'store' END AS action FROM s LEFT JOIN o USING (url_norm))"""
@@ -269,13 +322,19 @@ def _values(rows: list[tuple], names: str) -> str:
     return f"SELECT * FROM (VALUES {quoted}) AS t({names})"
 
 
+_RUSSIAN_SQL = f"""WITH words AS (SELECT [{", ".join(f"'{w}'" for w in RUSSIAN)}] AS w, [{", ".join(f"'{x}'" for x in RUSSIAN.values())}] AS x),
+  places AS (SELECT doc_id, unnest([doc_id % {len(RUSSIAN)}, doc_id * 5 % {len(RUSSIAN)}, doc_id * 7 % {len(RUSSIAN)}, doc_id % {len(RUSSIAN)}]) AS place FROM documents),
+  said AS (SELECT doc_id, x[place + 1] AS stem FROM places, words)"""
+
+
 def oracle_sql() -> dict[str, str]:
     out = {
         "tokenize": f"WITH tok AS ({TOKENS}) SELECT doc_id, term AS token, count(*) AS n FROM tok GROUP BY ALL",
         "term_frequency": f"{WITH_TOKENS} SELECT term, count(*) AS freq FROM tok GROUP BY term",
         "doc_frequency": f"{WITH_TOKENS} SELECT term, count(*) AS df FROM post GROUP BY term",
         "postings_long": f"{WITH_TOKENS} SELECT term, doc_id FROM post",
-        "postings_wide": f"{WITH_TOKENS} SELECT term, count(*) AS df, string_agg(doc_id::VARCHAR, '|' ORDER BY doc_id) AS docs FROM post GROUP BY term",
+        "postings_wide": f"""{WITH_TOKENS}, lines AS (SELECT term, count(*) AS n, string_agg(doc_id::VARCHAR, '|' ORDER BY doc_id) AS docs FROM post GROUP BY term, doc_id // {files.IDS_OF_A_LINE})
+            SELECT term, CAST(sum(n) OVER (PARTITION BY term) AS BIGINT) AS df, docs FROM lines""",
         "zipf_rank": f"{WITH_TOKENS}, {FREQ} SELECT rank, term, freq, df FROM lex JOIN (SELECT term, count(*) AS df FROM post GROUP BY term) USING (term)",
         "zipf_fit": f"{WITH_TOKENS}, {FREQ} SELECT round(-regr_slope(ln(freq), ln(rank)), 6) AS s, round(exp(regr_intercept(ln(freq), ln(rank))), 2) AS c FROM lex WHERE rank BETWEEN 10 AND 10000",
         "zipf_theory": f"""{WITH_TOKENS}, {FREQ}, fit AS (SELECT -regr_slope(ln(freq), ln(rank)) AS s, exp(regr_intercept(ln(freq), ln(rank))) AS c FROM lex WHERE rank BETWEEN 10 AND 10000),
@@ -315,12 +374,22 @@ def oracle_sql() -> dict[str, str]:
         "crawl_counters": f"""{_ROUTED} SELECT 'example' AS source_name, count(*) AS processed, count(*) FILTER (WHERE action IN ('store', 'unchanged')) AS ok,
             count(*) FILTER (WHERE action = 'unchanged') AS unchanged, count(*) FILTER (WHERE action = 'failed') AS failed FROM r""",
         "retry_queue": f"{_ROUTED} SELECT url_norm, 1 AS attempts, false AS dead, {NOW + 30} AS at FROM r WHERE action = 'retry'",
-        "upsert_snapshot": f"""{_ROUTED}, n AS (SELECT url_norm, action = 'store' AS st, html, etag, content_hash FROM r WHERE action IN ('store', 'unchanged'))
-            SELECT url_norm, length(coalesce(CASE WHEN st THEN n.html END, o.html)) AS n_chars,
-              CASE WHEN o.url_norm IS NOT NULL OR st THEN 'example' END AS source_name,
-              CASE WHEN n.url_norm IS NOT NULL THEN {NOW} ELSE o.fetched_at_unix END AS fetched_at_unix,
-              coalesce(CASE WHEN st THEN n.etag END, o.etag) AS etag, coalesce(CASE WHEN st THEN n.content_hash END, o.content_hash) AS content_hash
-            FROM o FULL JOIN n USING (url_norm)""",
+        "upsert_snapshot": f"""{_ROUTED}, a AS (SELECT url_norm, seen_at, action = 'store' AS st, html, etag, content_hash FROM r WHERE action IN ('store', 'unchanged')
+              UNION ALL SELECT url_norm, {NOW} + 50, false, NULL, NULL, NULL FROM u WHERE page_id % 4 = 3),
+            n AS (SELECT url_norm, max(seen_at) AS seen_at, bool_or(st) AS st, arg_max(html, seen_at) FILTER (WHERE st) AS html, arg_max(etag, seen_at) FILTER (WHERE st AND etag IS NOT NULL) AS etag,
+              arg_max(content_hash, seen_at) FILTER (WHERE st) AS content_hash FROM a GROUP BY url_norm)
+            SELECT url_norm, length(coalesce(n.html, o.html)) AS n_chars, 'example' AS source_name, coalesce(n.seen_at, o.fetched_at_unix) AS fetched_at_unix,
+              coalesce(n.etag, o.etag) AS etag, coalesce(n.content_hash, o.content_hash) AS content_hash
+            FROM o FULL JOIN n USING (url_norm) WHERE o.url_norm IS NOT NULL OR st""",
+        "stem_table": f"""{_RUSSIAN_SQL} SELECT stem AS term, count(*) AS freq, count(DISTINCT doc_id) AS df FROM said GROUP BY stem""",
+        "bool_russian": f"""{_RUSSIAN_SQL} SELECT DISTINCT doc_id FROM said WHERE stem IN ('истор', 'елк') AND doc_id NOT IN (SELECT doc_id FROM said WHERE stem = 'мир')""",
+        "html_clean_wiki": _values([(n, t, c) for n, _, t, c in WIKI], "name, title, clean_text"),
+        "seed_cap": "SELECT page_id, url FROM pages ORDER BY page_id LIMIT 100",
+        "seed_export": f"""WITH t AS ({_CUSTOMERS}), m AS (SELECT title, n_regionkey AS region FROM t JOIN nation ON nation = n_nationkey WHERE n_regionkey < 2),
+            z AS (SELECT count(*) FILTER (WHERE region = 0) AS n0, count(*) FILTER (WHERE region = 1) AS n1 FROM m),
+            q AS (SELECT least(20, n0, 50) AS f0, n0, least(n1, 50 - least(20, n0, 50)) AS f1 FROM z),
+            w AS (SELECT 'r0' AS source, f0 + least(n0 - f0, 50 - f0 - f1) AS n FROM q UNION ALL SELECT 'r1', f1 FROM q)
+            SELECT source, n, n AS urls FROM w WHERE n > 0""",
         "category_bfs": f"""WITH RECURSIVE e AS (SELECT n_regionkey + 1000 AS a, n_nationkey AS b FROM nation UNION ALL SELECT n_nationkey, n_regionkey + 1000 FROM nation WHERE n_nationkey = 3),
             w(id, depth) AS (SELECT r_regionkey + 1000, 0 FROM region WHERE r_regionkey < 2 UNION SELECT b, depth + 1 FROM w JOIN e ON a = id WHERE depth < 3),
             c AS (SELECT id, min(depth) AS depth FROM w GROUP BY id)

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.sources.tables import SEEDS
@@ -34,11 +34,17 @@ def write_postings(postings: DataFrame, path: str) -> None:
     wide_postings(postings).write.mode("overwrite").option("header", True).csv(path)
 
 
+#: Ids of a line at most: a term that more documents have, or a universe, takes several lines.
+IDS_OF_A_LINE = 1 << 20
+
+
 def wide_postings(postings: DataFrame) -> DataFrame:
-    """(term, df, docs string)."""
+    """(term, df, docs string), a row for each term and IDS_OF_A_LINE ids; df counts all documents of the term."""
     ids = F.array_sort(F.collect_list("doc_id"))
-    grouped = postings.groupBy("term").agg(F.count("*").alias("df"), ids.alias("ids"))
-    return grouped.select("term", "df", F.concat_ws("|", F.col("ids").cast("array<string>")).alias("docs"))
+    block = F.floor(F.col("doc_id") / F.lit(IDS_OF_A_LINE))
+    grouped = postings.groupBy("term", block.alias("_block")).agg(F.count("*").alias("_n"), ids.alias("_ids"))
+    lines = grouped.select("term", "_block", "_n", F.concat_ws("|", F.col("_ids").cast("array<string>")).alias("docs"))
+    return lines.select("term", F.sum("_n").over(Window.partitionBy("term")).alias("df"), "docs")
 
 
 def read_postings(spark: SparkSession, path: str) -> DataFrame:
@@ -67,9 +73,10 @@ def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_universe(docs: DataFrame, path: str) -> None:
-    """All ids on one line, joined by bars."""
-    joined = docs.agg(F.concat_ws("|", F.array_sort(F.collect_list("doc_id")).cast("array<string>")).alias("value"))
-    joined.write.mode("overwrite").text(path)
+    """All ids, joined by bars, IDS_OF_A_LINE on a line."""
+    block = F.floor(F.col("doc_id") / F.lit(IDS_OF_A_LINE))
+    joined = docs.groupBy(block.alias("_block")).agg(F.concat_ws("|", F.array_sort(F.collect_list("doc_id")).cast("array<string>")).alias("value"))
+    joined.select("value").write.mode("overwrite").text(path)
 
 
 def read_universe(spark: SparkSession, path: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from textloom.operators.index import postings, term_frequencies
-from textloom.operators.ingest import newest, upsert
+from textloom.operators.ingest import newest
 
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -45,27 +45,51 @@ def stored_frequencies(spark: SparkSession, store: str) -> DataFrame:
     return spark.read.parquet(f"{store}/counts").groupBy("term").agg(F.sum("freq").alias("freq"))
 
 
-def page_stream(results: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
-    """Rows of raw pages upserted into snapshots store/snapshot=<batch>; the last is the current one."""
+def page_stream(results: DataFrame, store: str, checkpoint: str, compact_every: int = 20) -> StreamingQuery:
+    """Rows of raw pages merged into a store: each batch adds store/delta=<batch>, with its own keys alone; every
+    compact_every batches all before are merged into store/base=<batch>. snapshot() reads the whole."""
     spark = results.sparkSession
 
     def write(batch: DataFrame, number: int) -> None:
-        now = newest(batch, "url_norm", "fetched_at_unix")
-        old = snapshot(spark, store, number)
-        (upsert(old, now) if old is not None else now).write.mode("overwrite").parquet(f"{store}/snapshot={number}")
+        newest(batch, KEY, TIME).write.mode("overwrite").parquet(f"{store}/delta={number}")
+        if (number + 1) % compact_every == 0:
+            _merged(spark, store, number).write.mode("overwrite").parquet(f"{store}/base={number}")
 
     return results.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def snapshot(spark: SparkSession, store: str, before: int | None = None) -> DataFrame | None:
-    """The last snapshot (of a batch before the given one)."""
+KEY, TIME = "url_norm", "fetched_at_unix"
+
+
+def _merged(spark: SparkSession, store: str, last: int | None) -> DataFrame | None:
+    """One row for each key of the last whole base and the batches after it, up to `last`."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     path = hadoop.Path(store)
     files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in files.listStatus(path)] if files.exists(path) else []
-    numbers = [int(n.partition("=")[2]) for n in names if n.startswith("snapshot=")]
-    numbers = [n for n in numbers if before is None or n < before]
-    return spark.read.parquet(f"{store}/snapshot={max(numbers)}") if numbers else None
+    names = [x.getPath().getName() for x in files.listStatus(path)] if files.exists(path) else []
+    whole = {kind: sorted(int(n.partition("=")[2]) for n in names if n.startswith(f"{kind}=") and files.exists(hadoop.Path(f"{store}/{n}/_SUCCESS"))) for kind in ("base", "delta")}
+    bases = [n for n in whole["base"] if last is None or n < last]
+    base = bases[-1] if bases else -1
+    paths = [f"{store}/base={base}"] * bool(bases) + [f"{store}/delta={n}" for n in whole["delta"] if n > base and (last is None or n <= last)]
+    if not paths:
+        return None
+    parts = [spark.read.parquet(p) for p in paths]  # one by one, as folder names would become columns
+    both = parts[0]
+    for part in parts[1:]:
+        both = both.unionByName(part)
+    return newest(both, KEY, TIME) if len(parts) > 1 else both
+
+
+def snapshot(spark: SparkSession, store: str) -> DataFrame | None:
+    """The pages of a store, None if there are none. Keys that only ever were said to be unchanged are none."""
+    found = _merged(spark, store, None)
+    if found is None:
+        return None
+    there = F.lit(False)
+    for c in found.columns:
+        if c not in (KEY, TIME, "url"):
+            there = there | F.col(c).isNotNull()
+    return found.where(there)
 
 
 def source_counts(docs: DataFrame, time_col: str = "ts", late: str = "10 minutes", window: str = "1 hour") -> DataFrame:
