@@ -1,12 +1,8 @@
-"""What the operators of this subpackage share: limits on what Python holds at once, tables in the
-folder that all executors see, joins that survive hot keys, and words as flat numpy arrays."""
+"""What the operators of this subpackage share: limits on what Python holds at once, joins that survive hot keys,
+and words as flat numpy arrays."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,60 +10,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.sources.scratch import limit_batches as bound_batches
+from textloom.sources.scratch import remove_written, shared_dir, written
 from textloom.sources.session import ship_package
 
 #: Bytes of text that one numpy pass works on; a longer single text is a pass of its own.
 CHUNK_BYTES = 1 << 20
-#: Rows and bytes of an Arrow batch between the JVM and Python.
-BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
-
 #: Seed of samples.
 SEED = 17
 
-_own_dir: list[str] = []
-
 
 def limit_batches(spark: SparkSession) -> None:
-    """Bound what an Arrow batch holds, so that many long texts never meet in one. The settings are the session's, as
-    Spark has no others for it; fewer rows, if set, stay as they are."""
+    """Let executors run this package, on Arrow batches of bounded size."""
     ship_package(spark)
-    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
-        spark.conf.set(rows, BATCH_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. Only where executors share the driver's disk (a local master, as in tests)
-    it may be unset; then it is a temporary one that goes when Python ends."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="textloom-"))
-        atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
-    return f"file://{_own_dir[0]}"
-
-
-def _folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/textloom/{spark.sparkContext.applicationId}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again: cuts the lineage, so that later
-    stages neither repeat the work nor depend on any executor that did it."""
-    spark = df.sparkSession
-    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove_written(spark: SparkSession) -> None:
-    """Delete all tables that written() has made in this application. Results that were not saved cannot be read then."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    bound_batches(spark)
 
 
 def fold(id_col: str, n: int) -> F.Column:
