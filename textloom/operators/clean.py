@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from textloom.functions.html import DROPPED
 from textloom.sources.scratch import limit_batches
 from textloom.sources.session import ship_package
+from textloom.sources.tables import spread
 
 #: Where wiki pages keep title and text, which of their parts go, and the headings that end an article.
 TITLE_ID, BODY_ID, BODY_CLASSES = "firstHeading", "mw-content-text", ("prp-pages-output", "mw-parser-output")
@@ -139,7 +140,7 @@ def cleaned(raw: DataFrame, html_col: str = "html", key_col: str = "url_norm") -
 
     ship_package(raw.sparkSession)
     limit_batches(raw.sparkSession)
-    own = raw.where((F.coalesce(F.col(key_col), F.lit("")) != "") & (F.coalesce(F.col(html_col), F.lit("")) != ""))
+    own = spread(raw).where((F.coalesce(F.col(key_col), F.lit("")) != "") & (F.coalesce(F.col(html_col), F.lit("")) != ""))
     found = own.withColumn("_both", both(F.col(html_col)))
     return found.select(*raw.columns, F.col("_both.title").alias("title"), F.col("_both.clean_text").alias("clean_text"))
 

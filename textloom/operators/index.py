@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions.text import folded, raw_tokens, stem
 from textloom.sources.scratch import written
+from textloom.sources.tables import spread
 
 
 def token_rows(docs: DataFrame, text_col: str = "clean_text") -> DataFrame:
@@ -16,7 +17,7 @@ def token_rows(docs: DataFrame, text_col: str = "clean_text") -> DataFrame:
 
 def postings(docs: DataFrame, text_col: str = "clean_text") -> DataFrame:
     """(term, doc_id), each once. A document's repeated tokens go before anything is stemmed or shuffled."""
-    distinct = docs.select("doc_id", F.explode(F.array_distinct(raw_tokens(F.col(text_col)))).alias("token"))
+    distinct = spread(docs.select("doc_id", text_col)).select("doc_id", F.explode(F.array_distinct(raw_tokens(F.col(text_col)))).alias("token"))
     return distinct.select(stem(folded(F.col("token"))).alias("term"), "doc_id").distinct()
 
 
@@ -28,14 +29,14 @@ def postings_of(docs: DataFrame, terms: list[str], text_col: str = "clean_text")
     may = token.isin(plain) if plain else F.lit(False)
     for t in stems:
         may = may | token.startswith(t)
-    rows = docs.select("doc_id", F.explode(raw_tokens(F.col(text_col))).alias("token")).select("doc_id", folded(token).alias("token")).where(may)
+    rows = spread(docs.select("doc_id", text_col)).select("doc_id", F.explode(raw_tokens(F.col(text_col))).alias("token")).select("doc_id", folded(token).alias("token")).where(may)
     return rows.select(stem(token).alias("term"), "doc_id").where(F.col("term").isin(terms)).distinct()
 
 
 def term_frequencies(docs: DataFrame, text_col: str = "clean_text") -> DataFrame:
     """(term, freq). Tokens are counted first (with partial counts before the shuffle), so stems are worked
     out once for each distinct token."""
-    counted = token_rows(docs, text_col).groupBy("token").agg(F.count("*").alias("n"))
+    counted = token_rows(spread(docs.select("doc_id", text_col)), text_col).groupBy("token").agg(F.count("*").alias("n"))
     return counted.groupBy(stem(F.col("token")).alias("term")).agg(F.sum("n").alias("freq"))
 
 
@@ -65,7 +66,9 @@ def ranked(frequencies: DataFrame) -> DataFrame:
 def frequencies(docs: DataFrame, text_col: str = "clean_text") -> DataFrame:
     """(term, freq, df) in one scan: texts are dealt by id, so that a document's tokens, and the terms made of them,
     are counted where they are, and only counts by term are shuffled again."""
-    dealt = docs.select("doc_id", F.col(text_col).alias("_text")).repartition("doc_id")
+    # A number of partitions keeps small texts from being read by one task; large ones have as many as shuffles have.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = docs.select("doc_id", F.col(text_col).alias("_text")).repartition(parts, "doc_id")
     counted = token_rows(dealt, "_text").groupBy("doc_id", "token").agg(F.count("*").alias("n"))
     terms = counted.groupBy("doc_id", stem(F.col("token")).alias("term")).agg(F.sum("n").alias("n"))
     return terms.groupBy("term").agg(F.sum("n").alias("freq"), F.count("*").alias("df"))

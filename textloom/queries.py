@@ -17,7 +17,7 @@ from textloom.plans.boolean import parse, terms
 from textloom.sources import files
 from textloom.sources.config import Config, Http, Recrawl, Source
 from textloom.sources.scratch import shared_dir, written
-from textloom.sources.tables import clean_docs, table, universe
+from textloom.sources.tables import clean_docs, spread, table, universe
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -250,7 +250,7 @@ def queries() -> dict[str, Query]:
         ),
         "snippet": _on_docs(lambda d: d.select("doc_id", text.snippet(F.col("clean_text")).alias("snippet"))),
         "html_title": _on("pages", lambda p: p.select("page_id", html.title(F.col("html")).alias("title"))),
-        "html_clean_native": _on("pages", lambda p: p.select("page_id", html.text(F.col("html")).alias("text"))),
+        "html_clean_native": _on("pages", lambda p: spread(p.select("page_id", "html")).select("page_id", html.text(F.col("html")).alias("text"))),
         "html_clean_tree": _prepared,
         "clean_counters": _on("pages", lambda p: clean.skipped(p.withColumn("url_norm", url.normalize_url(F.col("url"))))),
         "profile_by_source": _on_docs(profile.by_source),

@@ -21,6 +21,15 @@ def clean_docs(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", F.col("text").alias("clean_text"), F.col("source").alias("source_name"))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows, dealt to all cores if they lie in fewer partitions than there are cores (a file with one row group would be one
+    task's work); where there are many files nothing is shuffled."""
+    if rows.isStreaming:
+        return rows
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows._jdf.queryExecution().toRdd().getNumPartitions() < cores else rows
+
+
 def universe(docs: DataFrame) -> DataFrame:
     """All document ids, in order."""
     return docs.select("doc_id").orderBy("doc_id")
