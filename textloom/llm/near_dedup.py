@@ -33,8 +33,8 @@ SHINGLE_WORDS, PERCENT = 5, 80
 #: Signature coordinates; the chance that a pair just at the threshold shares no band may be MISS at most.
 COORDINATES, MISS = 320, 1e-5
 UNIVERSE_BITS = 20
-#: Buckets of the table of shingle frequencies, as a power of two: at least, and at most (64 MB).
-LEAST_BITS, MOST_BITS = 20, 24
+#: Buckets of the table of shingle frequencies, as a power of two: at least, and at most (16 MB).
+LEAST_BITS, MOST_BITS = 20, 22
 _SHINGLES, _BLOCK = 4096, 1 << 14
 
 _tables: list[tuple[np.ndarray, np.ndarray]] = []
