@@ -87,8 +87,8 @@ def backoff(http: Http, attempt: Column) -> Column:
     return F.when(attempt <= http.retries, F.lit(http.backoff_sec) * attempt)
 
 
-def pages_of(routed: DataFrame) -> DataFrame:
-    """Routed results as rows of raw pages: stored ones whole, unchanged ones with the time alone."""
+def pages_of(routed: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Routed results as rows of raw pages: stored ones whole, unchanged ones with the time alone. keep: other columns."""
     stored = F.col("action") == "store"
     return routed.where(F.col("action").isin("store", "unchanged")).select(
         F.col("url_norm").alias("url"),
@@ -99,22 +99,28 @@ def pages_of(routed: DataFrame) -> DataFrame:
         F.when(stored, F.col("etag")).alias("etag"),
         F.when(stored, F.col("last_modified")).alias("last_modified"),
         F.when(stored, F.col("content_hash")).alias("content_hash"),
+        *keep,
     )
 
 
-def newest(rows: DataFrame, key: str, time_col: str) -> DataFrame:
+def newest(rows: DataFrame, key: str, time_col: str, place: str | None = None) -> DataFrame:
     """One row for each key: of each column the last value that is not null, as if the rows were applied one after the
-    other; values of one time in an order that a hash gives. A partial aggregate, so hot keys do not meet whole."""
-    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(F.col(time_col), F.xxhash64(c))))
-    values = [F.max(c).alias(c) if c == time_col else last(c).alias(c) for c in rows.columns if c != key]
-    return rows.groupBy(key).agg(*values).select(*rows.columns)
+    other. Of rows of one time that with the least `place` (a column of numbers that the result lacks) is the last, or
+    without one that with the largest hash of all its columns, so values of one row stay together. A partial aggregate,
+    so hot keys do not meet whole."""
+    kept = [c for c in rows.columns if c != place]
+    turn = F.struct(F.col(time_col), *([-F.col(place)] if place else []), F.xxhash64(*kept))
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_turn")))
+    values = [F.max(c).alias(c) if c == time_col else last(c).alias(c) for c in kept if c != key]
+    return rows.withColumn("_turn", turn).groupBy(key).agg(*values).select(*kept)
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str = "url_norm", time_col: str = "fetched_at_unix", bare: tuple[str, ...] = ("url",)) -> DataFrame:
+def upsert(old: DataFrame, new: DataFrame, key: str = "url_norm", time_col: str = "fetched_at_unix", bare: tuple[str, ...] = ("url",), place: str | None = None) -> DataFrame:
     """The next snapshot: new rows, in the order of their times, replace old ones of their key, value by value where they
     have one, so a value that a new row lacks survives. Rows without values (but the key, the time and those that
-    `bare` names) touch a key that is there and make no new one. Applying the same rows twice changes nothing more."""
-    fresh = newest(new, key, time_col)
+    `bare` names) touch a key that is there and make no new one. Applying the same rows twice changes nothing more.
+    place: as newest() takes it, a column of new alone."""
+    fresh = newest(new, key, time_col, place)
     l, r = old.alias("o"), fresh.alias("n")
     merged = l.join(r, F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer")
     there = F.col(f"o.{key}").isNotNull()

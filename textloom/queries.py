@@ -142,8 +142,9 @@ def _existing(pages: DataFrame) -> DataFrame:
         F.when(F.col("page_id") % 3 == 0, text.content_hash(F.col("html"))).otherwise(F.lit("old")).alias("content_hash"),
         (F.lit(NOW) - F.col("page_id") % 10 * 100_000).alias("fetched_at_unix"),
         "html",
+        "page_id",
     )
-    return ingest.newest(rows, "url_norm", "fetched_at_unix")
+    return ingest.newest(rows, "url_norm", "fetched_at_unix", "page_id")
 
 
 def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,6 +166,7 @@ def _results(pages: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("last_modified"),
         (F.lit(NOW) + F.col("page_id") % 3).cast("long").alias("fetched_at_unix"),
         F.lit("example").alias("source_name"),
+        "page_id",
     )
 
 
@@ -179,10 +181,10 @@ def _upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("url_norm").alias("url"), "url_norm", "html", F.lit("example").alias("source_name"), "fetched_at_unix", "etag", "last_modified", "content_hash"
     )
     # All results twice, and for every fourth page an answer that came later in the same batch: not modified.
-    new = ingest.pages_of(_routed(spark, sf_dir))
-    later = pages.where("page_id % 4 = 3").select(url.normalize_url(F.col("url")).alias("url_norm"), F.lit(304).alias("status"), F.lit(None).cast("binary").alias("body"), F.lit(None).cast("string").alias("etag"))
+    new = ingest.pages_of(_routed(spark, sf_dir), ("page_id",))
+    later = pages.where("page_id % 4 = 3").select("page_id", url.normalize_url(F.col("url")).alias("url_norm"), F.lit(304).alias("status"), F.lit(None).cast("binary").alias("body"), F.lit(None).cast("string").alias("etag"))
     later = later.withColumns({"last_modified": F.lit(None).cast("string"), "fetched_at_unix": F.lit(NOW + 50).cast("long"), "source_name": F.lit("example")})
-    out = ingest.upsert(old, new.unionByName(new).unionByName(ingest.pages_of(ingest.route(later, _existing(pages), Recrawl()))))
+    out = ingest.upsert(old, new.unionByName(new).unionByName(ingest.pages_of(ingest.route(later, _existing(pages), Recrawl()), ("page_id",))), place="page_id")
     return out.select("url_norm", F.length("html").alias("n_chars"), "source_name", "fetched_at_unix", "etag", "content_hash")
 
 
