@@ -34,6 +34,17 @@ def test_upsert_applies_rows_in_turn(spark):
     assert ingest.upsert(old, new.limit(0)).collect() == old.collect() and ingest.upsert(old.limit(0), new.limit(0)).count() == 0
 
 
+def test_values_of_one_time_come_from_one_row(spark):
+    """Rows of a page at one time: all values are those of one of them, of the first in the table where it has a place."""
+    rows = [(k, k, f"h{n}", "s", 5, f"e{n}", f"m{n}", f"c{n}", n) for k in "abcdefgh" for n in (2, 1, 3)]
+    new = spark.createDataFrame(rows, f"{PAGE}, page_id long")
+    for r in ingest.newest(new.drop("page_id"), "url_norm", "fetched_at_unix").collect():
+        assert len({r.html[1:], r.etag[1:], r.last_modified[1:], r.content_hash[1:]}) == 1
+    old = new.drop("page_id").limit(0)
+    for out in (ingest.newest(new, "url_norm", "fetched_at_unix", "page_id"), ingest.upsert(old, new, place="page_id")):
+        assert out.columns == old.columns and {(r.url_norm, r.html, r.etag, r.content_hash) for r in out.collect()} == {(k, "h1", "e1", "c1") for k in "abcdefgh"}
+
+
 def test_page_store_merges_batches(spark, tmp_path):
     touch = ("a", "a", None, None, 9, None, None, None)
     for n, row in enumerate([_page("a", "1", 1, "e"), _page("a", "2", 2), touch, _page("b", "x", 4), ("z", "z", None, None, 3, None, None, None)]):
