@@ -101,6 +101,23 @@ def test_all_languages_are_learned(spark):
     assert said == names
 
 
+def test_models_learn_from_all_rows(spark, monkeypatch):
+    """More rows than any bound that models once had: prototypes, trees and thresholds take each of them."""
+    rng = random.Random(15)
+    texts = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(6000)]
+    profiles = language_id.learn(_docs(spark, [(i, t, "en") for i, t in enumerate(texts)]))
+    whole = sum(language_id.bundles(texts[at : at + 500]).sum(axis=0, dtype=np.float64) for at in range(0, len(texts), 500))
+    assert np.allclose(profiles.vectors[0], whole / np.sqrt((whole**2).sum()), atol=1e-12)
+
+    seen, grow, judge = [], quality.Forest.grow, quality.Forest.with_thresholds
+    monkeypatch.setattr(quality.Forest, "grow", staticmethod(lambda rows: seen.append(len(rows)) or grow(rows)))
+    monkeypatch.setattr(quality.Forest, "with_thresholds", lambda self, good, bad: seen.extend([len(good), len(bad)]) or judge(self, good, bad))
+    docs = spark.range(24_000).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(1, 55), i -> concat('w', hash(id, i), if(id % 10 = 0, '$$$', '')))) as text")
+    forest = quality.learn(docs, spark.range(24_000).selectExpr("id as doc_id", "cast(id % 10 > 0 as int) as quality"))
+    assert seen == [24_000, 21_600, 2400]
+    assert quality.good_rows(docs, forest).selectExpr("count(*)", "count_if(doc_id % 10 = 0)").first()[:] == (21_600, 0)
+
+
 def test_samples_are_bounded(spark):
     """Null and repeated ids and a value with nearly all rows."""
     from textloom.llm.common import bounded_sample

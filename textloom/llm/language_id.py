@@ -23,12 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import bounded_sample, kept_rows, limit_batches, mix, with_scores
+from textloom.llm.common import kept_rows, limit_batches, mix, with_scores
 
 UNKNOWN = "und"
 DIMENSIONS = 1024
-#: Rows of a language that its prototype is learned from, at most.
-DOCS_PER_LANGUAGE = 4000
 #: A text resembles a learned language if its cosine is at least half that which LOW of the language's own texts stay below,
 #: and more than that of unrelated vectors, which is 0 with a standard deviation of DIMENSIONS ** -0.5, exceeds with the
 #: chance BY_CHANCE for any prototype.
@@ -120,29 +118,25 @@ class Profiles:
         return names, scores
 
 
-def _sample(labelled: DataFrame, text_col: str, lang_col: str, docs_per_language: int) -> DataFrame:
+def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Profiles:
+    """Prototypes of all languages, each from all of its rows."""
     limit_batches(labelled.sparkSession)
-    return bounded_sample(labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")), docs_per_language, by="lang")
-
-
-def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", docs_per_language: int = DOCS_PER_LANGUAGE) -> Profiles:
-    """Prototypes of all languages, each from about docs_per_language of its rows at most."""
-    sample = _sample(labelled, text_col, lang_col, docs_per_language)
+    rows = labelled.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
     def run(batches):
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             langs, texts = batch.column("lang").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
             at = 0
-            for rows in _in_rows(texts):
-                for row in rows.astype(np.int64):
+            for bundled in _in_rows(texts):
+                for row in bundled.astype(np.int64):
                     lang = langs[at]
                     sums[lang] = sums[lang] + row if lang in sums else row
                     at += 1
         if sums:
             yield pa.RecordBatch.from_pydict({"lang": list(sums), "vector": [v.tolist() for v in sums.values()]})
 
-    parts = sample.mapInArrow(run, "lang string, vector array<bigint>")
+    parts = rows.mapInArrow(run, "lang string, vector array<bigint>")
     sums = parts.select("lang", F.posexplode("vector").alias("at", "x")).groupBy("lang", "at").agg(F.sum("x").alias("x"))
     found = sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("at", "x"))).getField("x").alias("vector")).collect()
     found = sorted((r.lang, r.vector) for r in found)
@@ -152,65 +146,17 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", d
     return Profiles([n for (n, _), s in zip(found, some, strict=True) if s], vectors[some] / lengths[some][:, None])
 
 
-def calibrated(profiles: Profiles, labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", docs_per_language: int = DOCS_PER_LANGUAGE) -> Profiles:
-    """The profiles with the least cosine of each language, from as many rows as learn() takes."""
+def calibrated(profiles: Profiles, labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Profiles:
+    """The profiles with the least cosine of each language, from all of its rows."""
     if not profiles.names:
         return profiles
-    sample = _sample(labelled, text_col, lang_col, docs_per_language)
-    said = predict(sample, profiles, "lang", "text").where("lang = lang_pred")
+    rows = labelled.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    said = predict(rows, profiles, "lang", "text").where("lang = lang_pred")
     low = {r.lang: r.low for r in said.groupBy("lang").agg(F.percentile_approx("score", LOW, 10_000).alias("low")).collect()}
     chance = NormalDist().inv_cdf(1 - BY_CHANCE / len(profiles.names)) * DIMENSIONS**-0.5
     return replace(profiles, least=np.array([max(chance, low.get(n, 0.0) / 2) for n in profiles.names]))
 
 
-def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
-        if not self.names:
-            return [UNKNOWN] * len(texts), [0.0] * len(texts)
-        names: list[str] = []
-        scores: list[float] = []
-        for rows in _in_rows(texts):
-            rows = rows.astype(np.float64)
-            lengths = np.sqrt((rows * rows).sum(axis=1))
-            cosines = rows @ self.vectors.T / np.maximum(lengths, 1e-9)[:, None]
-            best = cosines.argmax(axis=1)
-            names += [self.names[b] if l else UNKNOWN for b, l in zip(best.tolist(), lengths.tolist(), strict=True)]
-            scores += np.clip(cosines[np.arange(len(rows)), best], 0, 1).tolist()
-        return names, scores
-
-
-def _sample(labelled: DataFrame, text_col: str, lang_col: str, docs_per_language: int) -> DataFrame:
-    limit_batches(labelled.sparkSession)
-    return bounded_sample(labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")), docs_per_language, by="lang")
-
-
-def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", docs_per_language: int = DOCS_PER_LANGUAGE) -> Profiles:
-    """Prototypes of all languages, each from about docs_per_language of its rows at most."""
-    sample = _sample(labelled, text_col, lang_col, docs_per_language)
-
-    def run(batches):
-        sums: dict[str, np.ndarray] = {}
-        for batch in batches:
-            langs, texts = batch.column("lang").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
-            at = 0
-            for rows in _in_rows(texts):
-                for row in rows.astype(np.int64):
-                    lang = langs[at]
-                    sums[lang] = sums[lang] + row if lang in sums else row
-                    at += 1
-        if sums:
-            yield pa.RecordBatch.from_pydict({"lang": list(sums), "vector": [v.tolist() for v in sums.values()]})
-
-    parts = sample.mapInArrow(run, "lang string, vector array<bigint>")
-    sums = parts.select("lang", F.posexplode("vector").alias("at", "x")).groupBy("lang", "at").agg(F.sum("x").alias("x")).collect()
-    names = sorted({r.lang for r in sums})
-    vectors = np.zeros((len(names), DIMENSIONS))
-    for r in sums:
-        vectors[names.index(r.lang), r.at] = r.x
-    lengths = np.sqrt((vectors**2).sum(axis=1))
-    some = lengths > 0
-    return Profiles([n for n, s in zip(names, some, strict=True) if s], vectors[some] / lengths[some][:, None])
-
-
 def predict(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text", extra: dict[str, F.Column] | None = None) -> DataFrame:
     """(id, extra columns, lang_pred, score) of each row; score is the best cosine, 0 to 1."""
     shipped = docs.sparkSession.sparkContext.broadcast(profiles)

@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import SPACE, bounded_sample, kept_rows, mix, text_bytes, window_hashes, with_scores, word_hashes, word_spans
+from textloom.llm.common import SPACE, bounded_sample, join_sized, kept_rows, mix, text_bytes, window_hashes, with_scores, word_hashes, word_spans, written
 
 #: Fixed values of the base rules.
 SYMBOLS = b"#*$%&|<>"
 LEAST_WORDS, REPEAT_WINDOW, MOST_REPEATED_PERCENT = 50, 3, 50
-#: Trees over all statistics, trees of each rule, rows of each tree, and labelled rows they are learned from, at most.
-JOINT_TREES, TREES, SUBSAMPLE, LABELLED_ROWS = 96, 32, 256, 20_000
+#: Trees over all statistics, trees of each rule, and rows that each tree draws for itself from all labelled ones.
+JOINT_TREES, TREES, SUBSAMPLE = 96, 32, 256
 #: The group and threshold chosen next maximise the share of bad texts newly found less GOOD_WEIGHT times
 #: that of good ones rejected, and find LEAST_FOUND of the bad ones at least.
 GOOD_WEIGHT, LEAST_FOUND = 50, 0.02
@@ -175,8 +175,12 @@ class Forest:
 
     def calibrated(self, good: np.ndarray, bad: np.ndarray) -> Forest:
         """This forest with the thresholds that tell the rows of good and bad texts apart."""
+        return self.with_thresholds(self.anomaly(good), self.anomaly(bad))
+
+    def with_thresholds(self, good: np.ndarray, bad: np.ndarray) -> Forest:
+        """As calibrated(), from what anomaly() gives for the rows."""
         thresholds = np.full(len(self.roots), np.inf)
-        own, other = np.sort(self.anomaly(good), axis=0), self.anomaly(bad)
+        own, other = np.sort(good, axis=0), bad
         todo = np.ones(len(bad), bool)  # bad texts that no group finds yet
         while todo.any():
             best = (0.0, -1, 0.0)
@@ -188,7 +192,7 @@ class Forest:
                 gain = np.where(found >= LEAST_FOUND, found - GOOD_WEIGHT * lost, 0)
                 k = int(gain.argmax())
                 if gain[k] > best[0]:  # halfway to the next anomaly seen
-                    best = (gain[k], int(rule), (steps[k] + steps[k + 1]) / 2)
+                    best = (gain[k], int(rule), (float(steps[k]) + float(steps[k + 1])) / 2)
             if best[1] < 0:
                 break
             thresholds[best[1]] = best[2]
@@ -199,16 +203,28 @@ class Forest:
         return (anomaly > self.thresholds).any(axis=1)
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = LABELLED_ROWS) -> Forest:
-    """A forest over the statistics of about `rows` labelled texts at most, grown where good (label 1) and bad (label 0)
-    have their natural shares, since anomalies are rare, with thresholds from about half as many of each label,
-    that tell those apart which the base rule lets pass. A document with several labels takes the least."""
+def _gathered(rows: DataFrame, of, width: int, dtype) -> tuple[np.ndarray, np.ndarray]:
+    """On the driver the labels of all rows (label, features), and of(features) as a matrix: a few bytes a row, packed by
+    the executors."""
+
+    def run(batches):
+        for batch in batches:
+            features = batch.column("features").flatten().to_numpy(zero_copy_only=False).reshape(len(batch), len(RULES))
+            label = batch.column("label").to_numpy(zero_copy_only=False).astype(np.int8)
+            yield pa.RecordBatch.from_pydict({"label": pa.array([label.tobytes()], pa.binary()), "found": pa.array([of(features).astype(dtype).tobytes()], pa.binary())})
+
+    parts = rows.select("label", "features").mapInArrow(run, "label binary, found binary").collect()
+    return np.frombuffer(b"".join(r.label for r in parts), np.int8), np.frombuffer(b"".join(r.found for r in parts), dtype).reshape(-1, width)
+
+
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int | None = None) -> Forest:
+    """A forest over the statistics of all labelled texts (of about `rows` of them, if that is given) that the base rule lets
+    pass, good (label 1) and bad (label 0) in their natural shares, since anomalies are rare; each tree draws its rows
+    from all. Thresholds count all these texts. A document with several labels takes the least."""
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("label"))
     marked = marked.where(F.col("label").isin(0, 1))
-    natural = bounded_sample(marked, rows, key="id").withColumn("grown", F.lit(True))
-    by_label = bounded_sample(marked, rows // 2, key="id", by="label").withColumn("judged", F.lit(True))
-    sample = F.broadcast(natural.join(by_label, ["id", "label"], "full"))
-    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(sample, "id")
+    marked = written(marked if rows is None else bounded_sample(marked, rows, key="id"), "marked")
+    chosen = join_sized(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), marked, "id", docs.count(), marked.count())
 
     def judge():
         def of(texts):
@@ -217,14 +233,15 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
         return of
 
-    got = with_scores(chosen, "id", "text", judge, [("failed", pa.bool_()), ("features", pa.list_(pa.float64()))], {c: F.col(c) for c in ("label", "grown", "judged")})
-    got = got.where(~F.col("failed")).orderBy("id", "label", "features").collect()
-    good = np.array([r.features for r in got if r.judged and r.label == 1])
-    bad = np.array([r.features for r in got if r.judged and r.label == 0])
-    grown = [r.features for r in got if r.grown and r.label == 1] + [r.features for r in got if r.grown and r.label == 0]
-    if not len(good) or not len(bad) or not grown:
+    got = with_scores(chosen, "id", "text", judge, [("failed", pa.bool_()), ("features", pa.list_(pa.float64()))], {"label": F.col("label")})
+    got = written(got.where(~F.col("failed")).select("label", "features"), "labelled")
+    label, features = _gathered(got, lambda x: x, len(RULES), np.float64)
+    if not (label == 1).any() or not (label == 0).any():
         return Forest.grow(np.zeros((2, len(RULES))))
-    return Forest.grow(np.array(grown)).calibrated(good, bad)
+    forest = Forest.grow(features[np.lexsort((*features.T, label))])
+    shipped = docs.sparkSession.sparkContext.broadcast(forest)
+    label, anomaly = _gathered(got, lambda x: shipped.value.anomaly(x), len(forest.roots), np.float32)
+    return forest.with_thresholds(anomaly[label == 1], anomaly[label == 0])
 
 
 def score(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
