@@ -61,3 +61,20 @@ def test_new_files(spark, tmp_path):
     marker = spark.createDataFrame(first.collect(), none.schema)
     (tmp_path / "b").write_text("2")
     assert [r.path.rpartition("/")[2] for r in new_files(spark, str(tmp_path), marker).select(F.col("path")).collect()] == ["b"]
+
+
+def test_tables_in_between_have_bounded_row_groups(spark):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from textloom.sources.scratch import DECODED_ROWS, GROUP_BYTES, limit_batches, written
+
+    text = F.concat(*[F.sha2(F.concat("id", F.lit(f"-{k}")), 512) for k in range(8)])
+    back = written(spark.range(0, 48_000, 1, 1).select("id", text.alias("text")), "groups")
+    (file,) = glob.glob(f"{back.inputFiles()[0].removeprefix('file://').rpartition('/')[0]}/*.parquet")
+    groups = [pq.ParquetFile(file).metadata.row_group(k).total_byte_size for k in range(pq.ParquetFile(file).num_row_groups)]
+    assert len(groups) > 1 and max(groups) <= 1.25 * GROUP_BYTES
+    assert back.agg(F.count("*"), F.countDistinct("text")).first() == (48_000, 48_000)
+    limit_batches(spark)
+    assert 0 < int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= DECODED_ROWS

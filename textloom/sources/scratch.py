@@ -11,16 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes of an Arrow batch between the JVM and Python.
 BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
+#: Bytes of a Parquet row group of the tables in between, and rows that a reader decodes at once. Spark's own values (128 MB,
+#: 4096 rows) let what a task holds in the heap grow with the input, as writers and readers hold whole row groups.
+GROUP_BYTES, DECODED_ROWS = 16 << 20, 512
 
 _own_dir: list[str] = []
 
 
 def limit_batches(spark: SparkSession) -> None:
-    """Bound what an Arrow batch holds, so that many long texts never meet in one. The settings are the session's, as
-    Spark has no others for it; fewer rows, if set, stay as they are."""
-    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
-        spark.conf.set(rows, BATCH_ROWS)
+    """Bound what an Arrow batch and a batch of the Parquet reader hold, so that many long texts never meet in one. The
+    settings are the session's, as Spark has no others for it; fewer rows, if set, stay as they are."""
+    for rows, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.parquet.columnarReaderBatchSize", DECODED_ROWS)):
+        if not 0 < int(spark.conf.get(rows)) <= most:
+            spark.conf.set(rows, most)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
@@ -47,7 +50,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     stages neither repeat the work nor depend on any executor that did it."""
     spark = df.sparkSession
     path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
