@@ -11,19 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import decontaminate, language_id, near_dedup, quality, spm
-from textloom.llm.common import written
+from textloom.llm.common import dealt, written
 from textloom.llm.queries import table, tokenizer_model
 
 
 def in_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or that resemble no learned language, go."""
-    learned = table(spark, sf_dir, "documents")
-    return language_id.in_learned_language(docs, language_id.calibrated(language_id.learn(learned), learned))
+    learned = dealt(table(spark, sf_dir, "documents"))
+    return language_id.in_learned_language(dealt(docs), language_id.calibrated(language_id.learn(learned), learned))
 
 
 def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rule or have anomalous statistics go."""
-    return quality.good_rows(docs, quality.learn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+    return quality.good_rows(docs, quality.learn(dealt(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels")))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,9 +6,11 @@ import re
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from textloom.llm import decontaminate, language_id, near_dedup, quality
+from textloom.llm.common import dealt
 from textloom.llm.components import components
 from textloom.llm.queries import table
 
@@ -234,6 +236,19 @@ def test_stages_take_any_row(spark, stage):
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables")
+def test_texts_of_one_row_group_meet_several_tasks(spark, tmp_path):
+    """A file with one row group has splits without rows; its texts are dealt to all tasks, each row once."""
+    table(spark, FOLDER, "documents").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = table(spark, str(tmp_path), "documents")
+    kept = corpus_pipeline.in_known_language(spark, docs, str(tmp_path))
+    per_task = [r["count"] for r in kept.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(per_task) >= 4 and max(per_task) <= sum(per_task) / 2
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in corpus_pipeline.in_known_language(spark, docs.repartition(8), str(tmp_path)).collect())
+    assert sorted(map(tuple, dealt(docs).collect())) == sorted(map(tuple, docs.collect()))
+    even = docs.repartition(8)
+    assert dealt(even) is even and dealt(docs.limit(0)).count() == 0
+
+
 def test_encoding_takes_any_row(spark):
     rows = spark.createDataFrame([(None, None, 1), (1, "", 2), (1, "a b", 3), (1, "a b", 3), (2, "word " * 60_000, 4)], "doc_id long, text string, n_tokens int")
     got = corpus_pipeline.encoded(spark, rows, FOLDER).collect()

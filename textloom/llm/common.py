@@ -26,6 +26,22 @@ def limit_batches(spark: SparkSession) -> None:
     bound_batches(spark)
 
 
+#: Partitions for each core that dealt() makes.
+SHARES = 4
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """The rows of a table of files, dealt to all cores if one task would read over twice its share of them, as where a file
+    has one large row group (such a file has many splits, but only one of them has rows); else nothing is shuffled. Rows are
+    counted by the files' footers. The dealing needs no sort, so its task holds little besides the row group."""
+    counts = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if not counts or max(counts) * cores <= 2 * sum(counts):
+        return rows
+    bound_batches(rows.sparkSession)
+    return rows.withColumn("_place", F.monotonically_increasing_id()).repartition(SHARES * cores, "_place").drop("_place")
+
+
 def fold(id_col: str, n: int) -> F.Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % n
